@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,23 +13,25 @@ def number_id(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), F.when(d == F.floor(d), F.floor(d).try_cast("bigint")))
 
 
-def point_text(geometry: Column) -> Column:
-    """The innermost coordinate list of a WKT, EWKT or GeoJSON point, as an array of texts."""
-    inner = F.regexp_extract(geometry, "[\\(\\[]\\s*([^\\(\\[\\)\\]]+)[\\)\\]]", 1)
-    return F.split(F.trim(inner), "[,\\s]+")
-
-
-def _finite(c: Column) -> Column:
+def finite(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(1e15), c)
 
 
-def place(geometry: Column, x: Column, y: Column) -> Column:
-    """struct(x, y) of a ping: its geometry, or x, y where geometry is null or can't be read as a point;
-    null unless both coordinates are finite numbers."""
-    p = point_text(geometry)
-    gx = _finite(F.try_element_at(p, F.lit(1)).try_cast("double"))
-    gy = _finite(F.try_element_at(p, F.lit(2)).try_cast("double"))
-    there = gx.isNotNull() & gy.isNotNull()
-    px = F.when(there, gx).otherwise(_finite(x))
-    py = F.when(there, gy).otherwise(_finite(y))
-    return F.when(px.isNotNull() & py.isNotNull(), F.struct(px.alias("x"), py.alias("y")))
+def first_coordinates(geometry: Column) -> tuple[Column, Column]:
+    """The first two numbers of the innermost (last opened) coordinate list of a WKT, EWKT or GeoJSON text."""
+    plain = F.translate(geometry, "[],\t\n", "()   ")
+    inner = F.trim(F.substring_index(F.substring_index(plain, "(", -1), ")", 1))
+    rest = F.ltrim(F.substr(inner, F.instr(inner, " ")))
+    return tuple(finite(F.substring_index(c, " ", 1).try_cast("double")) for c in (inner, rest))
+
+
+def with_place(df: DataFrame, geometry: str = "geometry", x: str = "x", y: str = "y") -> DataFrame:
+    """Replaces x and y of a ping by its place: that of geometry, or x, y where geometry is null or isn't a point that
+    can be read; both null unless both are finite numbers."""
+    gx, gy = first_coordinates(F.col(geometry))
+    df = df.withColumns({"__gx": gx, "__gy": gy})
+    read = F.col("__gx").isNotNull() & F.col("__gy").isNotNull()
+    px, py = (F.when(read, F.col(g)).otherwise(finite(F.col(c))) for g, c in (("__gx", x), ("__gy", y)))
+    df = df.withColumns({x: px, y: py}).drop("__gx", "__gy", geometry)
+    there = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return df.withColumns({x: F.when(there, F.col(x)), y: F.when(there, F.col(y))})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import number_id, place
+from roadloom.functions.geo import number_id, with_place
 
 
 def first_delivery(df: DataFrame, key: Column, received: Sequence[str], keep: Sequence[str], key_name: str = "key", count_name: str = "n_deliveries") -> DataFrame:
@@ -32,8 +32,6 @@ def first_pings(fcd: DataFrame) -> DataFrame:
     id_fcd counts as a number; the copy is chosen before rows without time or place are left aside. The place is
     parsed before the shuffle, which so carries no text but id_veh.
     """
-    p = place(F.col("geometry"), F.col("x"), F.col("y"))
-    slim = fcd.select(number_id(F.col("id_fcd")).alias("id"), "id_veh", "ts", "engine", "received_at", "batch", p.alias("p"))
-    slim = slim.select("id", "id_veh", "ts", "engine", "received_at", "batch", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    slim = with_place(fcd.select("geometry", "x", "y", number_id(F.col("id_fcd")).alias("id"), "id_veh", "ts", "engine", "received_at", "batch"))
     one = first_delivery(slim, F.col("id"), ["received_at", "batch"], ["id_veh", "ts", "engine", "x", "y"], "id")
     return one.where("ts is not null and x is not null and id_veh is not null").drop("n_deliveries")

@@ -200,6 +200,6 @@ def stops_and_trips(fcd: DataFrame, radius: float = 60.0, stop_s: float = 600.0,
     joined = (F.col("kind") == "trip") & (prev("kind") == "trip") & F.col("at_start") & prev("at_end") & (F.col("t_first") - prev("t_last") <= F.lit(int(gap_s * 1e6)))
     pieces = pieces.withColumn("joined", F.coalesce(joined, F.lit(False))).withColumn("dist", F.when(F.col("joined"), F.col("dist") + step).otherwise(F.col("dist")))
     pieces = pieces.withColumn("run", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(order))
-    whole = pieces.groupBy("id_veh", "run", "kind").agg(F.min_by("id_first", "t_first").alias("id_fcd_first"), F.max_by("id_last", "t_last").alias("id_fcd_last"), F.min("t_first").alias("a"), F.max("t_last").alias("z"), F.sum("n").alias("n_pings"), F.sum("dist").alias("distance_m"))
+    whole = pieces.groupBy("id_veh", "run", "kind").agg(F.min_by("id_first", F.struct("t_first", "id_first")).alias("id_fcd_first"), F.max_by("id_last", F.struct("t_last", "t_first", "id_first")).alias("id_fcd_last"), F.min("t_first").alias("a"), F.max("t_last").alias("z"), F.sum("n").alias("n_pings"), F.sum("dist").alias("distance_m"))
     whole = whole.where((F.col("kind") == "stop") | (F.col("n_pings") >= least_pings))
     return whole.select("kind", "id_veh", "id_fcd_first", "id_fcd_last", F.timestamp_micros("a").alias("ts_first"), F.timestamp_micros("z").alias("ts_last"), ((F.col("z") - F.col("a")) / 1e6).alias("duration_s"), "distance_m", "n_pings")
