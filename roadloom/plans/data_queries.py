@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.functions.geo import number_id
 from roadloom.operators.delivery import first_delivery, first_pings
 from roadloom.operators.intervals import p1_found
+from roadloom.operators.spatial import p3_found
 from roadloom.operators.spikes import flagged_readings, p4_found
+from roadloom.operators.timestamps import p7_found
 from roadloom.operators.trips import stops_and_trips
-from roadloom.functions.geo import number_id
 from roadloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +36,12 @@ QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: p1_found(table(s, d, "link_events")),
     "p2_found": p2_found,
     "p2_stops_trips": lambda s, d: stops_and_trips(table(s, d, "fcd")),
+    "p3_found": lambda s, d: p3_found(table(s, d, "fcd"), table(s, d, "trips"), table(s, d, "zones")),
     "p4_found": lambda s, d: p4_found(table(s, d, "fcd"), table(s, d, "aggregated_results")),
     "p4_readings": lambda s, d: flagged_readings(table(s, d, "aggregated_results")),
     "p5_found": p5_found,
     "p5_first_copies": p5_first_copies,
+    "p7_found": lambda s, d: p7_found(table(s, d, "fcd_raw")),
     "p5_first_pings": lambda s, d: first_pings(table(s, d, "fcd")),
 }
 
