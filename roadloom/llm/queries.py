@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadloom.llm.packing import packed_documents, unused_space
 from roadloom.llm.runs import p6_runs
+from roadloom.llm.spam import spam, spam_scores
+from roadloom.llm.tokens import encoded, token_counts
 from roadloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +17,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "p6_found": lambda s, d: p6_runs(table(s, d, "fcd")).select("id_veh", "id_fcd_first", "id_fcd_last"),
     "p6_runs": lambda s, d: p6_runs(table(s, d, "fcd")),
+    "p8_ids": lambda s, d: encoded(table(s, d, "documents").select("doc_id", "text")),
+    "p8_token_counts": lambda s, d: token_counts(table(s, d, "documents").select("doc_id", "text")),
+    "p9_assignments": lambda s, d: packed_documents(table(s, d, "documents")),
+    "p9_unused_space": lambda s, d: unused_space(packed_documents(table(s, d, "documents"))),
+    "p10_found": lambda s, d: spam(table(s, d, "documents")).select("doc_id"),
+    "p10_scores": lambda s, d: spam_scores(table(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {
