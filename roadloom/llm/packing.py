@@ -22,9 +22,9 @@ from roadloom.llm.tokens import VOCABULARY, token_counts
 from roadloom.session import written
 
 CAPACITY = 4096
-#: Size classes of the least squares, the most items of a combination, and buckets that the items of one size are
-#: ranked in.
-CLASSES, DEPTH, BUCKETS = 64, 5, 256
+#: Size classes of the least squares, the most items of a combination, the space that a container planned by them may
+#: leave unused, and buckets that the items of one size are ranked in.
+CLASSES, DEPTH, UNUSED, BUCKETS = 64, 5, 8, 256
 
 
 def combinations(classes: int, depth: int) -> list[tuple[int, ...]]:
@@ -91,8 +91,11 @@ def _take(have: dict[int, int], sizes: list[int], count: int, largest: bool) ->
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
-    """Containers for a histogram of sizes (1..capacity): (sizes in the container, number of such containers)."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH, unused: int = UNUSED) -> list[tuple[tuple[int, ...], int]]:
+    """Containers for a histogram of sizes (1..capacity): (sizes in the container, number of such containers).
+
+    Of the containers that least squares plans, those that the real sizes leave too empty are dissolved again.
+    """
     have = {int(s): int(n) for s, n in histogram.items() if n > 0}
     if any(not 1 <= s <= capacity for s in have):
         raise ValueError("sizes must be between 1 and the capacity")
@@ -122,10 +125,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
             while slots[0]:
                 n = min(slot[0][1] for slot in slots)
                 sizes = sorted((slot[0][0] for slot in slots), reverse=True)
-                while sum(sizes) > capacity:  # over the window: its smallest goes back
+                while sum(sizes) > capacity:  # beyond the capacity: its smallest goes back
                     have[sizes[-1]] += n
                     sizes.pop()
-                filled[tuple(sizes)] += n
+                if capacity - sum(sizes) <= unused:
+                    filled[tuple(sizes)] += n
+                else:
+                    for s in sizes:
+                        have[s] += n
                 for slot in slots:
                     slot[0][1] -= n
                     if not slot[0][1]:
