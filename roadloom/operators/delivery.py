@@ -23,6 +23,7 @@ def first_delivery(df: DataFrame, key: Column, received: Sequence[str], keep: Se
     order = [x for c in received for x in (F.col(c).isNull(), F.col(c))] + [F.xxhash64(*keep)]
     agg = df.select(key.alias("__key"), F.struct(*keep).alias("__kept"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__order"))
     agg = agg.where("__key is not null").groupBy("__key").agg(F.min_by("__kept", "__order").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    agg = agg.where("__kept is not null")  # keeps the choice of the copy in the plan even where only keys are asked for
     return agg.select(F.col("__key").alias(key_name), *[F.col("__kept")[c].alias(c) for c in keep], F.col("__n").alias(count_name))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that a kernel is given at once, unless one group is longer.
@@ -74,3 +75,17 @@ def with_halo(df: DataFrame, t: str, block_us: int, halo_us: int) -> DataFrame:
     at = lambda d: F.floor((F.col(t) + F.lit(d)) / F.lit(block_us)).cast("int")
     both = F.array_distinct(F.array(at(0), at(-halo_us), at(halo_us)))
     return df.withColumn("block", F.explode(both)).withColumn("core", F.col("block") == at(0))
+
+
+def natural_groups(rows: DataFrame, entity: str, block: str = "block", head: str = "head") -> DataFrame:
+    """Replaces block and head by `group`: a block's rows from its first cut on are a group, and its head rows (before
+    that cut) belong to the group of the last block of the entity that has a cut.
+
+    The blocks' summary has a row per entity and block; only head rows meet it in the join.
+    """
+    held = rows.groupBy(entity, block).agg((~F.min(head)).alias("has_cut"))
+    before = W.partitionBy(entity).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    last = F.coalesce(F.last(F.when(F.col("has_cut"), F.col(block)), True).over(before), F.lit(-(2**31)))
+    held = held.select(F.col(entity).alias("__e"), F.col(block).alias("__b"), last.alias("__g"))
+    joined = rows.join(held, (F.col(entity) == F.col("__e")) & (F.col(block) == F.col("__b")) & F.col(head), "left")
+    return joined.withColumn("group", F.coalesce("__g", block)).drop("__e", "__b", "__g", block, head)

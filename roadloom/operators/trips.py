@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.operators.sequences import DAY_US, per_group
+from roadloom.operators.sequences import DAY_US, natural_groups, per_group
 from roadloom.operators.spikes import AREA, MAX_KMH, flagged_pings
 
 
@@ -163,11 +163,7 @@ def stops_and_trips(fcd: DataFrame, radius: float = 60.0, stop_s: float = 600.0,
         return tab.append_column("head", pa.array(head))
 
     clean = flagged_pings(fcd, area, max_kmh, block_us, find_heads, "head boolean")
-    held = clean.groupBy("id_veh", "block").agg((~F.min("head")).alias("has_cut"))
-    before = W.partitionBy("id_veh").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    held = held.select(F.col("id_veh").alias("v"), F.col("block").alias("b"), F.coalesce(F.last(F.when(F.col("has_cut"), F.col("block")), True).over(before), F.lit(-(2**31))).alias("group"))
-    rows = clean.join(held, (F.col("id_veh") == F.col("v")) & (F.col("block") == F.col("b")) & F.col("head"), "left")
-    rows = rows.select("id_veh", F.coalesce("group", "block").alias("group"), "id", "t", "x", "y")
+    rows = natural_groups(clean, "id_veh").select("id_veh", "group", "id", "t", "x", "y")
 
     def segment(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         t, x, y, ids = (tab[c].to_numpy() for c in ("t", "x", "y", "id"))
