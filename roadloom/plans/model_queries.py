@@ -17,7 +17,7 @@ from roadloom.operators import simulate as V
 from roadloom.operators.fcd_trips import build_trips
 from roadloom.operators.matching import nearest_link
 from roadloom.operators.spatial import regions
-from roadloom.session import shared_folder, table
+from roadloom.session import shared_folder, table, written
 from roadloom.streaming import fcd as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,9 +118,10 @@ def assignment_matrix(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def od_estimate(s: SparkSession, d: str) -> DataFrame:
-    m = _shares(s, d).groupBy("id_link", "o", "d").agg(F.sum("share").alias("share"))
-    prior = _node_demand(s, d).select(F.col("source").alias("o"), F.col("target").alias("d"), F.col("demand").alias("value"))
+    m = written(_shares(s, d).groupBy("id_link", "o", "d").agg(F.sum("share").alias("share")), "shares")
+    prior = written(_node_demand(s, d).select(F.col("source").alias("o"), F.col("target").alias("d"), F.col("demand").alias("value")), "prior")
     counts = m.join(prior, ["o", "d"]).groupBy("id_link").agg((F.sum(F.col("share") * F.col("value")) * 1.2).alias("count"))
+    counts = written(counts, "counts")
     return A.estimated(prior, m, counts, iterations=2)[0]
 
 
