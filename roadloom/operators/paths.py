@@ -45,7 +45,7 @@ def graph(links: DataFrame, turns: DataFrame, slice_minutes: float = 15.0) -> Gr
     at = {int(i): k for k, i in enumerate(ids)}
     width = max((len(r[3]) for r in rows), default=1)
     minutes = np.array([[*r[3], *[r[3][-1]] * (width - len(r[3]))] for r in rows], float).reshape(len(rows), width)
-    pairs = sorted((at[r[0]], at[r[1]], r[2]) for r in turns.where("penalty < double('infinity')").collect() if r[0] in at and r[1] in at)
+    pairs = sorted((at[r[0]], at[r[1]], r[2]) for r in turns.where("penalty < double('infinity')").select("in_link", "out_link", "penalty").collect() if r[0] in at and r[1] in at)
     first = np.searchsorted([p[0] for p in pairs], np.arange(len(rows) + 1))
     by_tail: dict[int, list[int]] = {}
     for k, r in enumerate(rows):
