@@ -105,8 +105,8 @@ def implausible_readings(v: np.ndarray, low: float, high: float, stuck: int, sha
     Bounds, then runs of at least `stuck` equal readings, then spikes. A spike is a Hampel outlier of a frame of its
     group of up to `longest` readings and the two readings around it, those weighing as much as the group, so that the
     frame's weighted median is the nearer of the two; the deviation is measured against `share` of the source's median,
-    as the MAD of a smooth source would make noise a case. Neither neighbour may be a case: candidates are taken in
-    descending Hampel score, and one that conflicts with an accepted group is left.
+    as the MAD of a smooth source would make noise a case. Neither neighbour may be a case: larger groups come first,
+    then those further from the rolling median, and one that conflicts with an accepted group is left.
     """
     n = len(v)
     kind = np.full(n, "", object)
@@ -128,7 +128,7 @@ def implausible_readings(v: np.ndarray, low: float, high: float, stuck: int, sha
         ok = (gap > band) & ~base[: n - size - 1] & ~base[size + 1 :]
         found += [(float(np.abs(v[i + 1 : i + 1 + size] - med[i + 1 : i + 1 + size]).min()), int(i) + 1, size) for i in np.flatnonzero(ok)]
     case, neighbour = base.copy(), np.zeros(n, bool)
-    for _, i, size in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+    for _, i, size in sorted(found, key=lambda f: (-f[2], -f[0], f[1])):
         if case[i - 1] or case[i + size] or neighbour[i : i + size].any():
             continue
         case[i : i + size] = True

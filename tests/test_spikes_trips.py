@@ -37,6 +37,8 @@ def test_readings():
     assert reading([50 + i % 3 for i in range(5)] + [40] * 12 + [52])[5:17] == ["stuck"] * 12
     assert reading([50 + i % 3 for i in range(5)] + [40] * 11 + [52]) == [""] * 17
     assert reading([50, 90, 50, 90, 50]) == ["", "spike", "", "spike", ""]
+    assert reading([42, 43, 110, 75, 125, 42, 43])[2:5] == ["spike"] * 3  # of several groupings, the largest
+    assert reading([93, 90, 258, 189, 89, 90])[2:4] == ["bounds", "spike"]
     assert reading([]) == [] and reading([5]) == [""]
     assert reading([50, 80, -1, 50]) == ["", "", "bounds", ""]  # a neighbour that is a case itself speaks for nothing
 
