@@ -98,14 +98,14 @@ def yield_capacity(flow: Column, capacity: Column, limit: float) -> Column:
     return (1 - limit) * F.exp(F.try_divide(F.lit(-5.4), capacity) * flow) + limit
 
 
-def utm_to_degrees(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
-    """Longitude and latitude of northern UTC metres (transverse Mercator on WGS 84, series to sub-millimetre)."""
+def mercator_to_degrees(x: Column, y: Column, meridian: float, scale: float, easting: float) -> tuple[Column, Column]:
+    """Longitude and latitude of northern transverse-Mercator metres on GRS 80 / WGS 84 (series to sub-millimetre)."""
     a, f = 6_378_137.0, 1 / 298.257223563
     n = f / (2 - f)
     big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi, eta = y / (0.9996 * big), (x - 500_000) / (0.9996 * big)
+    xi, eta = y / (scale * big), (x - easting) / (scale * big)
     xp, ep = xi, eta
     for j, c in enumerate(beta, 1):
         xp = xp - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
@@ -114,5 +114,8 @@ def utm_to_degrees(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
     lat = chi
     for j, c in enumerate(delta, 1):
         lat = lat + c * F.sin(2 * j * chi)
-    lon = F.lit(math.radians(zone * 6 - 183)) + F.atan2(F.sinh(ep), F.cos(xp))
-    return F.degrees(lon), F.degrees(lat)
+    return F.degrees(F.lit(math.radians(meridian)) + F.atan2(F.sinh(ep), F.cos(xp))), F.degrees(lat)
+
+
+def utm_to_degrees(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
+    return mercator_to_degrees(x, y, zone * 6 - 183, 0.9996, 500_000.0)

@@ -118,3 +118,34 @@ def congestion(results: DataFrame, sets: DataFrame, levels: tuple[float, ...] =
     slot = rows.groupBy("id_set", "slot").agg(F.sum("tt").alias("tt"), F.sum(F.col("speed") * F.col("length")).alias("vl"), F.sum(F.when(F.col("speed").isNotNull(), F.col("length"))).alias("l"), F.count("speed").alias("n"), *low)
     shares = [F.try_divide(F.sum(f"low_{i}"), F.sum("n")).alias(f"share_{i}") for i in range(len(levels))]
     return slot.groupBy("id_set").agg(F.try_divide(F.sum("vl"), F.sum("l")).alias("v_avg"), F.sum("l").alias("km"), *shares, F.count_if(F.col("low_0") > 0).alias("congested_slots"), F.max("tt").alias("max_tt"), F.min("tt").alias("min_tt"))
+
+
+def allowed(df: DataFrame, mode: str) -> DataFrame:
+    """Rows (links, nodes or turns) that a mode may use: null, empty or 'all' modes are every mode, 'none' is none."""
+    m = F.col("modes")
+    return df.where(m.isNull() | (F.size(m) == 0) | F.array_contains(m, "all") | (F.array_contains(m, mode) & ~F.array_contains(m, "none")))
+
+
+def parsed_set(text: Column) -> Column:
+    """A comma-separated text as an array of distinct trimmed names; null for null or blank."""
+    return F.when(F.trim(text) != "", F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda v: F.trim(v)), lambda v: v != "")))
+
+
+def path_counters(paths: DataFrame, link: int) -> DataFrame:
+    """Links in all paths, paths that use a link, how often it is used, and different paths: one row."""
+    return paths.agg(F.sum(F.size("links")).alias("links"), F.count_if(F.array_contains("links", link)).alias("paths_with_link"), F.sum(F.size(F.filter("links", lambda v: v == link))).alias("uses"), F.countDistinct("links").alias("unique_paths"))
+
+
+def path_geometry(paths: DataFrame, links: DataFrame, key: str = "path") -> DataFrame:
+    """(path, xy): vertices of a path's links in order, repeated joints once. A path's links are its own bound."""
+    from roadloom.functions.wkb import merged
+
+    e = paths.select(key, F.posexplode("links").alias("pos", "id")).join(links.select("id", vertices(F.col("geometry")).alias("xy")), "id")
+    g = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "xy"))).alias("l"))
+    return g.select(key, merged(F.col("l.xy")).alias("xy"))
+
+
+def sparse_speeds(speeds: DataFrame) -> DataFrame:
+    """(id_link, slices, speeds): for links with readings, their slices in order and the speeds in these."""
+    g = speeds.where("n > 0").groupBy("id_link").agg(F.array_sort(F.collect_list(F.struct("slice", "speed"))).alias("s"))
+    return g.select("id_link", F.col("s.slice").alias("slices"), F.col("s.speed").alias("speeds"))

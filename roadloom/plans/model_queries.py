@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.functions.wkb import decode, encode_line
 from roadloom.operators import assign as A
 from roadloom.operators import clusters as C
 from roadloom.operators import network as N
@@ -16,6 +17,7 @@ from roadloom.operators import paths as T
 from roadloom.operators import simulate as V
 from roadloom.operators.fcd_trips import build_trips
 from roadloom.operators.matching import nearest_link
+from roadloom.operators.reconstruct import rebuilt
 from roadloom.operators.spatial import regions
 from roadloom.session import shared_folder, table, written
 from roadloom.streaming import fcd as R
@@ -125,6 +127,22 @@ def od_estimate(s: SparkSession, d: str) -> DataFrame:
     return A.estimated(prior, m, counts, iterations=2)[0]
 
 
+@query()
+def trip_paths(s: SparkSession, d: str) -> DataFrame:
+    """Links that the trips of the trips table took, by their lines."""
+    links, turns = _network(s, d)
+    shapes = {r[0]: np.array([(p.x, p.y) for p in r[1]]) for r in table(s, d, "links").select("id", N.vertices(F.col("geometry")).alias("v")).collect() if r[1]}  # a network's links, counted by graph()
+    g = T.graph(links.where(F.col("id").isin(list(shapes))).withColumn("minutes", F.array("minutes")) if len(shapes) < links.count() else links.withColumn("minutes", F.array("minutes")), turns)
+    t = table(s, d, "trips").select("id_trip", N.vertices(F.col("geometry")).alias("xy")).dropDuplicates(["id_trip"])
+    return rebuilt(t, g, shapes, 1500.0)
+
+
+@query("SELECT id_trip, hash_n AS n_vertices FROM (SELECT id_trip, any_value(len(regexp_extract_all(regexp_extract(geometry, '[(\\[].*'), '-?\\d+(?:\\.\\d+)?')) // 2) AS hash_n FROM trips GROUP BY 1)")
+def wkb_round_trip(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "trips").select("id_trip", N.vertices(F.col("geometry")).alias("xy")).dropDuplicates(["id_trip"])
+    return t.select("id_trip", decode(encode_line("xy")).alias("g")).select("id_trip", F.size(F.col("g.parts")[0]).cast("bigint").alias("n_vertices"))
+
+
 @query()
 def trips_full(s: SparkSession, d: str) -> DataFrame:
     return build_trips(table(s, d, "fcd"))

@@ -128,6 +128,11 @@ LAYERS: dict[str, tuple[tuple[str, str, bool, Any], ...]] = {
     "turns": (("from_link", "bigint", False, None), ("to_link", "bigint", False, None), ("modes", "array<string>", False, None), ("penalty", "double", False, float("inf"))),
     "links_sets": (("id_set", "string", True, None), ("id_link", "bigint", True, None)),
     "fcd": (("id_fcd", "string", True, None), ("id_trip", "string", False, None), ("id_veh", "string", True, None), ("ts", "timestamp_ntz", True, None), ("engine", "tinyint", False, 1), ("speed", "float", False, None), ("heading", "float", False, None), ("progr", "float", False, None), ("x", "double", False, None), ("y", "double", False, None)),
+    "events": (("id_link_set", "string", True, None), ("event_type", "string", True, None), ("start_hm", "string", True, None), ("end_hm", "string", True, None), ("params", "string", True, None)),
+    "traffic_lights": (("id", "bigint", True, None), ("cycle", "float", True, None), ("offset", "float", False, 0.0), ("phases", "string", True, None), ("geometry", "string", True, None)),
+    "paths": (("source", "bigint", True, None), ("target", "bigint", True, None), ("t_start", "smallint", True, None), ("t_base", "smallint", False, None), ("t", "bigint", False, None), ("mode", "string", False, None), ("tot_cost", "float", False, None), ("links", "array<bigint>", True, None), ("k", "tinyint", False, None), ("path_flow", "float", False, None)),
+    "fcd_paths": (("source", "bigint", True, None), ("target", "bigint", True, None), ("t_start", "smallint", True, None), ("mode", "string", False, None), ("tot_cost", "float", False, None), ("links", "array<bigint>", True, None), ("id_trip", "string", False, None)),
+    "aggregated_results": (("slot_ts", "timestamp_ntz", True, None), ("mode", "string", False, None), ("id_link", "bigint", True, None), ("flow_in", "float", False, None), ("flow_out", "float", False, None), ("avg_speed", "double", False, None), ("density", "float", False, None), ("tt", "float", False, None)),
     "trips": (("id_trip", "bigint", True, None), ("id_veh", "string", True, None), ("dt_o", "timestamp_ntz", True, None), ("dt_d", "timestamp_ntz", True, None)),
 }
 
@@ -144,6 +149,12 @@ def layer(df: DataFrame, name: str) -> DataFrame:
     return df.withColumns(typed)
 
 
+def between(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
+    """Rows with start <= ts < end; the range reaches the scan."""
+    kind = df.schema[ts].dataType.simpleString()
+    return df.where((F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.lit(end).cast(kind)))
+
+
 def violations(df: DataFrame, name: str) -> DataFrame:
     """(field, missing, unreadable): rows without a required value, and with one that isn't of the type; one pass."""
     spec = [s for s in LAYERS[name] if s[0] in df.columns]
