@@ -51,7 +51,7 @@ WITH t AS (SELECT upper(trim(id_link_set)) AS s, date_diff('day', DATE '1970-01-
     regexp_extract(trim(start_hm), '^([01]?\d|2[0-3])[:.h]?([0-5]\d)(:[0-5]\d)?$', ['h', 'm', 's']) AS a,
     regexp_extract(trim(end_hm), '^([01]?\d|2[0-3]|24)[:.h]?([0-5]\d)(:[0-5]\d)?$', ['h', 'm', 's']) AS z FROM link_events),
 m AS (SELECT s, d, try_cast(a.h AS BIGINT) * 60 + try_cast(a.m AS BIGINT) AS a, try_cast(z.h AS BIGINT) * 60 + try_cast(z.m AS BIGINT) AS z FROM t),
-i AS (SELECT s, d + a AS a, d + z + CASE WHEN z < a THEN 1440 ELSE 0 END AS z FROM m WHERE a IS NOT NULL AND z <= 1440 AND a <> z AND d IS NOT NULL),
+i AS (SELECT DISTINCT s, d + a AS a, d + z + CASE WHEN z < a THEN 1440 ELSE 0 END AS z FROM m WHERE a IS NOT NULL AND z <= 1440 AND a <> z AND d IS NOT NULL),
 n AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY s ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
 k AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM n),
 p AS (SELECT s, min(a) AS a, max(z) AS z FROM k GROUP BY s, island),

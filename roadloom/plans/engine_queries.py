@@ -155,7 +155,7 @@ def mapping_projection(s: SparkSession, d: str) -> DataFrame:
     return spec.read(s)
 
 
-@query("SELECT id_veh, count(*) AS trips, sum(CASE WHEN id_zone_o IN (SELECT id FROM zones) THEN 1 ELSE 0 END) AS known, sum(CASE WHEN id_zone_o NOT IN (SELECT id FROM zones) THEN 1 ELSE 0 END) AS unknown FROM trips WHERE id_zone_o IS NOT NULL GROUP BY 1")
+@query("SELECT id_veh, count(*) AS trips, count(*) FILTER (WHERE id_zone_o IN (SELECT id FROM zones)) AS known, count(*) FILTER (WHERE id_zone_o NOT IN (SELECT id FROM zones)) AS unknown FROM trips WHERE id_zone_o IS NOT NULL GROUP BY 1")
 def member_semi_anti(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "trips").where("id_zone_o is not null").withColumn("id", F.col("id_zone_o"))
     z = table(s, d, "zones")
@@ -163,11 +163,11 @@ def member_semi_anti(s: SparkSession, d: str) -> DataFrame:
     return both.groupBy("id_veh").agg(F.count(F.lit(1)).alias("trips"), F.sum("k").alias("known"), F.sum(1 - F.col("k")).alias("unknown"))
 
 
-@query("""WITH a AS (SELECT id, lanes, rcr::DOUBLE AS rcr FROM links WHERE id % 2 = 0 AND rcr IS NOT NULL), b AS (SELECT id, lanes + 1 AS lanes, 25.0 AS rcr FROM links)
+@query("""WITH a AS (SELECT id, lanes, rcr::DOUBLE AS rcr FROM links WHERE NOT connector AND rcr IS NOT NULL), b AS (SELECT id, lanes + 1 AS lanes, 25.0 AS rcr FROM links)
 SELECT id, coalesce(a.lanes, b.lanes) AS lanes, coalesce(a.rcr, b.rcr) AS rcr FROM a FULL JOIN b USING (id)""")
 def overlay_combine_first(s: SparkSession, d: str) -> DataFrame:
-    links = table(s, d, "links").select("id", "lanes", F.col("rcr").cast("double").alias("rcr"))
-    return D.overlay([links.where("id % 2 = 0 and rcr is not null"), links.select("id", (F.col("lanes") + 1).alias("lanes"), F.lit(25.0).alias("rcr"))], ["id"], ["lanes", "rcr"])
+    links = table(s, d, "links").select("id", "lanes", F.col("rcr").cast("double").alias("rcr"), "connector")
+    return D.overlay([links.where("not connector and rcr is not null").drop("connector"), links.select("id", (F.col("lanes") + 1).alias("lanes"), F.lit(25.0).alias("rcr"))], ["id"], ["lanes", "rcr"])
 
 
 # --- sequences -----------------------------------------------------------------------------------------------------
@@ -188,7 +188,7 @@ p AS (SELECT * FROM (SELECT id, id_veh, ts, engine, CASE WHEN geometry IS NULL T
 
 
 @query(f"""WITH {_PINGS}, s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step, epoch(ts) - epoch(lag(ts) OVER w) AS dt FROM p WINDOW w AS (PARTITION BY id_veh ORDER BY ts, id)),
-n AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt > 900 OR engine = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id_veh ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+n AS (SELECT *, count(*) FILTER (WHERE dt IS NULL OR dt > 900 OR engine = 0) OVER (PARTITION BY id_veh ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s)
 SELECT id_veh, session, count(*) AS n, min(ts) AS started, max(ts) AS ended, round(sum(CASE WHEN dt <= 900 AND engine IS DISTINCT FROM 0 THEN step ELSE 0 END), 3) AS metres FROM n GROUP BY ALL""")
 def sessions_gap(s: SparkSession, d: str) -> DataFrame:
     p = first_pings(table(s, d, "fcd"))
@@ -199,22 +199,29 @@ def sessions_gap(s: SparkSession, d: str) -> DataFrame:
     return g.groupBy("id_veh", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.round(F.sum("step"), 3).alias("metres"))
 
 
-@query("""WITH v AS (SELECT id_link, hour(slot_ts) AS hour, round(avg(avg_speed), 4) AS speed FROM aggregated_results WHERE hour(slot_ts) % 3 = 0 GROUP BY ALL),
-g AS (SELECT id_link, unnest(generate_series(0, 23)) AS hour FROM (SELECT DISTINCT id_link FROM v))
-SELECT id_link, CAST(hour AS INT) AS hour, last_value(speed IGNORE NULLS) OVER (PARTITION BY id_link ORDER BY hour) AS speed FROM g LEFT JOIN v USING (id_link, hour)""")
+_SLOTS = """v AS (SELECT id_link, strftime(slot_ts, '%Y-%m-%d') AS day, CAST(hour(slot_ts) * 60 + minute(slot_ts) AS INT) AS minute, avg(avg_speed) AS speed FROM aggregated_results GROUP BY ALL),
+g AS (SELECT id_link, day, CAST(unnest(generate_series(0, 1425, 15)) AS INT) AS minute FROM (SELECT DISTINCT id_link, day FROM v))"""
+
+
+def _slots(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "aggregated_results")
+    return a.groupBy("id_link", F.date_format("slot_ts", "yyyy-MM-dd").alias("day"), X.minute_of_timestamp(F.col("slot_ts")).alias("minute")).agg(F.avg("avg_speed").alias("speed"))
+
+
+@query(f"""WITH {_SLOTS} SELECT id_link, day, minute, round(last_value(speed IGNORE NULLS) OVER (PARTITION BY id_link, day ORDER BY minute), 4) AS speed FROM g LEFT JOIN v USING (id_link, day, minute)""")
 def forward_fill_slices(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "aggregated_results").withColumn("hour", F.hour("slot_ts")).where("hour % 3 = 0").groupBy("id_link", "hour").agg(F.round(F.avg("avg_speed"), 4).alias("speed"))
-    return S.forward_fill(v, ["id_link"], "hour", "speed", 0, 23, 1)
+    return S.forward_fill(_slots(s, d), ["id_link", "day"], "minute", "speed", 0, 1425, 15).withColumn("speed", F.round("speed", 4))
 
 
-@query("""WITH v AS (SELECT id_link, hour, CASE WHEN hour % 4 = 0 THEN speed END AS speed FROM (SELECT id_link, hour(slot_ts) AS hour, avg(avg_speed) AS speed FROM aggregated_results GROUP BY ALL)),
-b AS (SELECT *, last_value(speed IGNORE NULLS) OVER a AS v0, first_value(speed IGNORE NULLS) OVER z AS v1, last_value(CASE WHEN speed IS NOT NULL THEN hour END IGNORE NULLS) OVER a AS h0, first_value(CASE WHEN speed IS NOT NULL THEN hour END IGNORE NULLS) OVER z AS h1 FROM v
-WINDOW a AS (PARTITION BY id_link ORDER BY hour ROWS UNBOUNDED PRECEDING), z AS (PARTITION BY id_link ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT id_link, hour, round(coalesce(speed, v0 + (v1 - v0) * ((hour - h0)::DOUBLE / nullif(h1 - h0, 0)), v0, v1), 5) AS speed FROM b""")
+@query(f"""WITH {_SLOTS}, j AS (SELECT * FROM g LEFT JOIN v USING (id_link, day, minute)),
+b AS (SELECT *, last_value(speed IGNORE NULLS) OVER a AS v0, first_value(speed IGNORE NULLS) OVER z AS v1, last_value(CASE WHEN speed IS NOT NULL THEN minute END IGNORE NULLS) OVER a AS h0, first_value(CASE WHEN speed IS NOT NULL THEN minute END IGNORE NULLS) OVER z AS h1 FROM j
+WINDOW a AS (PARTITION BY id_link, day ORDER BY minute ROWS UNBOUNDED PRECEDING), z AS (PARTITION BY id_link, day ORDER BY minute ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT id_link, day, minute, round(coalesce(speed, v0 + (v1 - v0) * ((minute - h0)::DOUBLE / nullif(h1 - h0, 0)), v0, v1), 5) AS speed FROM b""")
 def interpolate_gaps(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "aggregated_results").groupBy("id_link", F.hour("slot_ts").cast("bigint").alias("hour")).agg(F.avg("avg_speed").alias("speed"))
-    v = v.withColumn("speed", F.when(F.col("hour") % 4 == 0, F.col("speed")))
-    return S.interpolate(v, ["id_link"], "hour", "speed").select("id_link", "hour", F.round("speed", 5).alias("speed"))
+    v = _slots(s, d)
+    every = v.select("id_link", "day").distinct().withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(1425), F.lit(15))))
+    full = every.join(v, ["id_link", "day", "minute"], "left")
+    return S.interpolate(full, ["id_link", "day"], "minute", "speed").select("id_link", "day", "minute", F.round("speed", 5).alias("speed"))
 
 
 @query("""WITH l AS (SELECT id_event, upper(trim(id_link_set)) AS s, event_type, lag(event_type) OVER w AS prev, row_number() OVER w AS k FROM (SELECT DISTINCT id_event, id_link_set, event_type FROM link_events) WINDOW w AS (PARTITION BY upper(trim(id_link_set)) ORDER BY id_event, event_type))
@@ -322,10 +329,10 @@ def link_set_lists(s: SparkSession, d: str) -> DataFrame:
     return N.set_links(table(s, d, "links_sets")).select("id_set", F.size("links").cast("bigint").alias("n"), F.array_join("links", ",").alias("links"))
 
 
-@query("""WITH e AS (SELECT DISTINCT id_event, CASE WHEN event_type IS NULL THEN '[20001, 20004]' WHEN event_type = 'market' THEN '20007' WHEN id_event % 997 = 0 THEN NULL ELSE id_link_set END AS ref FROM link_events)
+@query("""WITH e AS (SELECT DISTINCT id_event, CASE WHEN event_type IS NULL THEN NULL WHEN event_type = 'closure' THEN '[20001, 20004]' WHEN event_type = 'market' THEN '20007' ELSE id_link_set END AS ref FROM link_events)
 SELECT id_event, id FROM e JOIN links ON ref IS NULL UNION ALL SELECT id_event, 20007 FROM e WHERE ref = '20007' UNION ALL SELECT id_event, unnest([20001, 20004]) FROM e WHERE ref LIKE '[%' UNION ALL SELECT id_event, id_link FROM e JOIN links_sets ON upper(trim(ref)) = id_set WHERE ref NOT LIKE '[%' AND ref <> '20007'""")
 def linkset_resolution(s: SparkSession, d: str) -> DataFrame:
-    ref = F.when(F.col("event_type").isNull(), "[20001, 20004]").when(F.col("event_type") == "market", "20007").when(F.col("id_event") % 997 == 0, F.lit(None)).otherwise(F.col("id_link_set"))
+    ref = F.when(F.col("event_type").isNull(), F.lit(None)).when(F.col("event_type") == "closure", "[20001, 20004]").when(F.col("event_type") == "market", "20007").otherwise(F.col("id_link_set"))
     e = table(s, d, "link_events").select("id_event", ref.alias("ref")).distinct()
     return N.referenced_links(e, table(s, d, "links_sets"), table(s, d, "links")).select("id_event", F.col("id_link").alias("id"))
 
@@ -341,12 +348,12 @@ def adjacency_turns(s: SparkSession, d: str) -> DataFrame:
     return N.adjacency(links, turns)
 
 
-@query("""SELECT t.from_node, t.via_node, t.to_node, a.id AS in_link, b.id AS out_link FROM (SELECT DISTINCT x.from_node, x.to_node AS via_node, y.to_node FROM links x JOIN links y ON x.to_node = y.from_node WHERE x.id % 10 = 0) t
+@query("""SELECT t.from_node, t.via_node, t.to_node, a.id AS in_link, b.id AS out_link FROM (SELECT DISTINCT x.from_node, x.to_node AS via_node, y.to_node FROM links x JOIN links y ON x.to_node = y.from_node) t
 JOIN links a ON a.from_node = t.from_node AND a.to_node = t.via_node JOIN links b ON b.from_node = t.via_node AND b.to_node = t.to_node""")
 def turn_resolution(s: SparkSession, d: str) -> DataFrame:
     links = table(s, d, "links")
     y = links.select(F.col("from_node").alias("via_node"), F.col("to_node"))
-    t = links.where("id % 10 = 0").select("from_node", F.col("to_node").alias("via_node")).join(y, "via_node").distinct()
+    t = links.select("from_node", F.col("to_node").alias("via_node")).join(y, "via_node").distinct()
     return N.resolved_turns(t, links).select("from_node", "via_node", "to_node", "in_link", "out_link")
 
 
@@ -366,18 +373,18 @@ def azimuth_turn_class(s: SparkSession, d: str) -> DataFrame:
     return N.turn_classes(table(s, d, "links"))
 
 
-@query("""SELECT 'dangling' AS "check", (SELECT count(*) FROM links WHERE from_node % 50 = 0 OR to_node % 50 = 0) AS n UNION ALL SELECT 'no_length', count(*) FILTER (WHERE NOT length > 0 OR length IS NULL) FROM links UNION ALL SELECT 'no_speed', count(*) FILTER (WHERE NOT v0 > 0 OR v0 IS NULL) FROM links""")
+@query("""SELECT 'dangling' AS "check", (SELECT count(*) FROM links WHERE from_node NOT IN (SELECT from_node FROM links WHERE v0 > 50) OR to_node NOT IN (SELECT from_node FROM links WHERE v0 > 50)) AS n UNION ALL SELECT 'no_length', count(*) FILTER (WHERE NOT length > 0 OR length IS NULL) FROM links UNION ALL SELECT 'no_speed', count(*) FILTER (WHERE NOT v0 > 0 OR v0 IS NULL) FROM links""")
 def network_checks(s: SparkSession, d: str) -> DataFrame:
     links = table(s, d, "links")
-    nodes = links.select(F.explode(F.array("from_node", "to_node")).alias("id")).distinct().where("id % 50 <> 0")
+    nodes = links.where("v0 > 50").select(F.col("from_node").alias("id")).distinct()  # nodes that a fast link leaves
     return N.checks(links, nodes)
 
 
-@query("""SELECT l_suppkey AS id_link, CAST(month(o_orderdate) AS INT) AS t_start, round(sum(o_totalprice), 1) AS flow FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
+@query("""SELECT l_suppkey AS id_link, CAST(month(o_orderdate) AS INT) AS t_start, CAST(sum(round(o_totalprice * 100)::BIGINT) AS BIGINT) AS flow FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
 def static_link_flow(s: SparkSession, d: str) -> DataFrame:
     path = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("links"))  # an order's lines: at most seven
-    p = path.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("links", F.month("o_orderdate").alias("t_start"), F.col("o_totalprice").alias("path_flow"))
-    return N.path_flows(p).select("id_link", "t_start", F.round("flow", 1).alias("flow"))
+    p = path.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("links", F.month("o_orderdate").alias("t_start"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("path_flow"))  # cents
+    return N.path_flows(p).select("id_link", "t_start", "flow")
 
 
 @query("""SELECT time_bucket(INTERVAL 60 MINUTE, slot_ts) AS slot, id_link, round(avg(avg_speed), 4) AS speed, round(sum(flow_in::DOUBLE), 2) AS flow, round(sum(flow_in::DOUBLE) / any_value(capacity), 4) AS saturation FROM aggregated_results JOIN links ON links.id = id_link GROUP BY ALL""")
@@ -427,9 +434,9 @@ def link_speed_slices(s: SparkSession, d: str) -> DataFrame:
     return M.link_speeds(m)
 
 
-@query("""WITH v AS (SELECT id_link, slot_ts AS slice, avg(avg_speed) AS speed, count(avg_speed) AS n, id_res % 2 AS half FROM aggregated_results WHERE avg_speed IS NOT NULL GROUP BY ALL)
+@query("""WITH v AS (SELECT id_link, slot_ts AS slice, avg(avg_speed) AS speed, count(avg_speed) AS n FROM aggregated_results WHERE avg_speed IS NOT NULL GROUP BY ALL)
 SELECT id_link, slice, round(sum(speed * n) / sum(n), 5) AS speed, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY ALL""")
 def merged_running_mean(s: SparkSession, d: str) -> DataFrame:
-    a = table(s, d, "aggregated_results").select("id_link", F.col("slot_ts").alias("ts"), F.col("avg_speed").alias("speed"), (F.col("id_res") % 2).alias("half"))
-    old, new = (M.link_speeds(a.where(F.col("half") == k)) for k in (0, 1))
+    a = table(s, d, "aggregated_results").select("id_link", F.col("slot_ts").alias("ts"), F.col("avg_speed").alias("speed"), F.coalesce(F.col("published_at") > F.col("slot_ts") + F.expr("interval 20 minutes"), F.lit(True)).alias("late"))
+    old, new = (M.link_speeds(a.where(F.col("late") == late)) for late in (False, True))
     return M.merged_speeds(old, new).select("id_link", "slice", F.round("speed", 5).alias("speed"), "n")

@@ -110,7 +110,7 @@ def _shares(s: SparkSession, d: str) -> DataFrame:
     od = _node_demand(s, d)
     paths = T.shortest_paths(T.tasks_of(s, od.withColumn("t_start", F.lit(0.0))), g).join(od, ["source", "target"])
     p = paths.select(F.col("source").alias("o"), F.col("target").alias("d"), "t_start", "links", "costs", F.col("demand").alias("path_flow"), "demand")
-    return T.assignment_matrix(p, links.where("id % 7 = 0").select(F.col("id").alias("id_link")))
+    return T.assignment_matrix(p, table(s, d, "links").where("lanes >= 2").select(F.col("id").alias("id_link")))
 
 
 @query()
@@ -175,9 +175,8 @@ def vehicle_loading(s: SparkSession, d: str) -> DataFrame:
     links, turns = _network(s, d)
     od = _node_demand(s, d)
     g = T.graph(links.withColumn("minutes", F.array("minutes")), turns)
-    busiest = od.orderBy(F.desc("demand"), "source", "target").limit(200)  # the scenario: the busiest pairs
-    paths = T.shortest_paths(T.tasks_of(s, busiest.withColumn("t_start", F.lit(0.0))), g).join(busiest, ["source", "target"]).select("links", "demand").collect()
-    flows = sorted(([r[0]], [1.0], [r[1] / 4] * 2) for r in paths)
+    paths = T.shortest_paths(T.tasks_of(s, od.withColumn("t_start", F.lit(0.0))), g).join(od, ["source", "target"]).select("links", "demand").collect()  # a scenario's pairs of zones
+    flows = sorted(([r[0]], [1.0], [r[1] / 100] * 2) for r in paths)
     return V.simulated(net, flows, s.range(2).select(F.col("id").alias("seed")), 60.0)
 
 
