@@ -36,6 +36,8 @@ DOMAINS = "com|net|org|info|biz|shop|online|site|store|club|example|invalid|test
 #: Words apart at which a recurrence is close, the lags of the autocorrelation (in windows), and the shares that decide.
 CLOSE, LAGS, WINDOW = 40, 64, 8
 FEW_FUNCTION, RECURRENT, REGULAR, MOST = 0.12, 0.5, 0.35, 0.5
+#: Length from which a line of one or two characters over and over is padding.
+PADDING = 40
 
 _CUE = re.compile(r"\s*(?:[\dOoIl]{1,7}|WEBVTT.*|NOTE\b.*|[\dOoIl:.,\s]*-\s?-\s?>.*)\s*")
 _STYLE = re.compile(r"</?(?:i|b|u|font|span|c)\b[^>]*>|\{\\[^}]*\}", re.I)
@@ -154,7 +156,8 @@ def _read(line: str) -> _Line:
     rest = _LINK.sub(" ", line) if links else line
     tags = [t for t in _TAG.findall(rest) if not _NAME.fullmatch(t) and any(c.isalpha() for c in t)] if _TAGLIKE(rest) else []
     words = [w.lower() for w in _WORD.findall(rest) if not w.isdigit() and (len(w) < 40 or len(set(w)) > 5)]
-    function = sum(w in FUNCTION_WORDS or "'" in w or "’" in w for w in words)
+    loose = words if not tags else [w.lower() for w in _WORD.findall(_TAG.sub(" ", rest))]  # "in-der-nähe" is one tag
+    function = sum(w in FUNCTION_WORDS or "'" in w or "’" in w for w in loose)
     if not line.isascii() and (kana := len(_KANA.findall(line))):  # no spaces between words: particles and endings are in hiragana
         function += max(1, kana // 3)
     size = len("".join(line.split()))
@@ -170,7 +173,8 @@ def judge(text: str | None) -> Verdict:
     rows = []
     for raw in (text or "").splitlines():
         if raw and not (("-->" in raw or raw[-1:].isdigit() or raw[0] in " WN" or len(raw) < 40) and _CUE.fullmatch(raw)) and (line := _plain(raw)):
-            rows.append(_read(line))
+            if len(line) < PADDING or len(set(line)) > 2:  # one character over and over is no text
+                rows.append(_read(line))
     total = sum(r.size for r in rows)
     if not total:
         return Verdict(0.0, 0.0, 0.0, 0.0, 0.0, 0.0)

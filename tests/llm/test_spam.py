@@ -20,6 +20,7 @@ LINKS = [f"{p}{w}.example/{k}" for k, (p, w) in enumerate([("www.", "lopel"), ("
     [
         [RNG.choice(KEYS) for _ in range(30)], [" | ".join(RNG.choices(KEYS, k=5)) for _ in range(8)], [", ".join(RNG.choices(LINKS, k=3)) for _ in range(8)], ["www[.]lopel[.]test, http://mika dot example, tujor . example, gorlan[.]invalid"] * 6,
         ["#beard_oil, #cheapbeardoil, beard-oil"] * 8, [f"{k} >> {u}" for k in KEYS for u in LINKS], TALK[:2] + [" ".join(RNG.choices(KEYS, k=9)) for _ in range(6)], ["香水 激安", "中古タイヤ 送料無料", "財布"] * 8, ["духи скидка; шины дёшево; духи скидка купить"] * 6,
+        ["#Handyhülle-in-der-Nähe, Laufschuhe_in_der_Nähe"] * 6, KEYS * 2 + ["a" * 5000],
         ["g​old watch | GOLD WATCH | g​old watch 2024"] * 6,
     ],
 )
