@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.session import written
+from roadloom.session import kernel_partitions, written
 
 #: Links of a graph that tasks may be given whole; a larger one is relaxed by joins instead.
 MAX_LINKS = 2_000_000
@@ -116,7 +116,8 @@ def shortest_paths(tasks: DataFrame, g: Graph) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [c.split()[0] for c in PATH.split(", ")])
 
-    return tasks.select("source", "targets", F.col("t_start").cast("double")).mapInArrow(run, PATH)
+    spaced = tasks.select("source", "targets", F.col("t_start").cast("double")).repartition(kernel_partitions(tasks.sparkSession), "source", "t_start")
+    return spaced.mapInArrow(run, PATH)
 
 
 def relaxed_costs(links: DataFrame, turns: DataFrame, sources: DataFrame, within: float = float("inf"), rounds: int = 1000) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadloom.session import kernel_partitions
+
 #: Rows that a kernel is given at once, unless one group is longer.
 CHUNK = 100_000
 DAY_US = 86_400_000_000
@@ -66,7 +68,7 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Call
         if rows:
             yield from flush(True)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(kernel_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def with_halo(df: DataFrame, t: str, block_us: int, halo_us: int) -> DataFrame:

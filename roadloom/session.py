@@ -26,6 +26,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def kernel_partitions(spark: SparkSession) -> int:
+    """Partitions for work that costs by the row, not by the byte: AQE would coalesce them by their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan that has fewer partitions than there are cores (a few small files), dealt over all cores; a larger
+    one as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir; a local one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
