@@ -10,19 +10,24 @@ from roadloom.llm.packing import packed_documents, unused_space
 from roadloom.llm.runs import p6_runs
 from roadloom.llm.spam import spam, spam_scores
 from roadloom.llm.tokens import encoded, token_counts
-from roadloom.session import table
+from roadloom.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "p6_found": lambda s, d: p6_runs(table(s, d, "fcd")).select("id_veh", "id_fcd_first", "id_fcd_last"),
     "p6_runs": lambda s, d: p6_runs(table(s, d, "fcd")),
-    "p8_ids": lambda s, d: encoded(table(s, d, "documents").select("doc_id", "text")),
-    "p8_token_counts": lambda s, d: token_counts(table(s, d, "documents").select("doc_id", "text")),
-    "p9_assignments": lambda s, d: packed_documents(table(s, d, "documents")),
-    "p9_unused_space": lambda s, d: unused_space(packed_documents(table(s, d, "documents"))),
-    "p10_found": lambda s, d: spam(table(s, d, "documents")).select("doc_id"),
-    "p10_scores": lambda s, d: spam_scores(table(s, d, "documents")),
+    "p8_ids": lambda s, d: encoded(_documents(s, d)),
+    "p8_token_counts": lambda s, d: token_counts(_documents(s, d)),
+    "p9_assignments": lambda s, d: packed_documents(_documents(s, d)),
+    "p9_unused_space": lambda s, d: unused_space(packed_documents(_documents(s, d))),
+    "p10_found": lambda s, d: spam(_documents(s, d)).select("doc_id"),
+    "p10_scores": lambda s, d: spam_scores(_documents(s, d)),
 }
 
 SQL: dict[str, str] = {
