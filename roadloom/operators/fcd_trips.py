@@ -6,6 +6,7 @@ Unlike trips.stops_and_trips, which finds stops by place, this builder decides p
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import hypot
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ def cut_trips(t: np.ndarray, x: np.ndarray, y: np.ndarray, engine: np.ndarray, o
     far = False
     prev = anchor = -1
     n = len(t)
+    ts, xs, ys, on, read = (v.tolist() for v in (t, x, y, engine, odo))  # lists are read faster one by one
 
     def close() -> None:
         nonlocal now, far
@@ -72,25 +74,25 @@ def cut_trips(t: np.ndarray, x: np.ndarray, y: np.ndarray, engine: np.ndarray, o
         if prev < 0:
             now, prev, anchor = [i], i, i
             continue
-        dt = t[i] - t[prev]
-        if dt == 0 or (x[i] == x[prev] and y[i] == y[prev]):
+        dt = ts[i] - ts[prev]
+        if dt == 0 or (xs[i] == xs[prev] and ys[i] == ys[prev]):
             continue
-        dist = float(np.hypot(x[i] - x[prev], y[i] - y[prev]))
-        v, d_odo = dist / dt, odo[i] - odo[prev]
-        if engine[i] == 0 or engine[prev] == 2 or d_odo < 0 or d_odo > rules.jump_m or dt > rules.silence_s or (dt > rules.slow_silence_s and v < rules.slow_m_s):
+        dist = hypot(xs[i] - xs[prev], ys[i] - ys[prev])
+        v, d_odo = dist / dt, read[i] - read[prev]
+        if on[i] == 0 or on[prev] == 2 or d_odo < 0 or d_odo > rules.jump_m or dt > rules.silence_s or (dt > rules.slow_silence_s and v < rules.slow_m_s):
             close()
             now, prev, anchor = [i], i, i
             continue
-        if i + 1 < n and t[i + 1] > t[i]:
-            ahead = float(np.hypot(x[i + 1] - x[i], y[i + 1] - y[i])) / (t[i + 1] - t[i])
+        if i + 1 < n and ts[i + 1] > ts[i]:
+            ahead = hypot(xs[i + 1] - xs[i], ys[i + 1] - ys[i]) / (ts[i + 1] - ts[i])
             if v > rules.max_m_s and ahead > rules.max_m_s:
                 continue
             if v > rules.max_m_s >= ahead and len(now) == 1:
                 now, prev, anchor = [i], i, i
                 continue
         far |= dist > rules.jump_m
-        since = t[i] - t[anchor]
-        if since > rules.stop_s and float(np.hypot(x[i] - x[anchor], y[i] - y[anchor])) / since < rules.stop_m_s:
+        since = ts[i] - ts[anchor]
+        if since > rules.stop_s and hypot(xs[i] - xs[anchor], ys[i] - ys[anchor]) / since < rules.stop_m_s:
             now = [k for k in now if k <= anchor]
             close()
             now, prev, anchor = [i], i, i

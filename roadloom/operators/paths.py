@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,11 @@ class Graph:
     by_tail: dict[int, list[int]]
     slice_minutes: float
 
+    @cached_property
+    def rows(self) -> tuple[list, ...]:
+        """The arrays as lists, whose single elements are read faster."""
+        return tuple(a.tolist() for a in (self.ids, self.head, self.minutes, self.first, self.turns, self.penalty))
+
 
 def graph(links: DataFrame, turns: DataFrame, slice_minutes: float = 15.0) -> Graph:
     """links: (id, from_node, to_node, minutes array<double>); turns: (in_link, out_link, penalty), infinite = forbidden.
@@ -59,43 +65,44 @@ def shortest(g: Graph, source: int, targets: set[int], t_start: float) -> dict[i
     A label belongs to a link, not a node, so that turns cost. Clock: minutes from the interval's start; first come
     first served. Of equal costs the smaller link goes first. Ends when all targets are settled.
     """
-    last = g.minutes.shape[1] - 1
-    cost = lambda k, t: g.minutes[k, min(int(t // g.slice_minutes), last)]
+    ids, head, minutes, first, turns, penalty = g.rows
+    last, width = g.minutes.shape[1] - 1, g.slice_minutes
+    infinite = float("inf")
     best: dict[int, float] = {}
     back: dict[int, int] = {}
     done: set[int] = set()
     heap: list[tuple[float, int, int]] = []
     for k in g.by_tail.get(source, ()):
-        c = cost(k, t_start)
+        c = minutes[k][min(int(t_start // width), last)]
         best[k] = c
-        heapq.heappush(heap, (c, int(g.ids[k]), k))
+        heapq.heappush(heap, (c, ids[k], k))
     open_targets, found = set(targets) - {source}, {}
     while heap and open_targets:
         c, _, k = heapq.heappop(heap)
         if k in done:
             continue
         done.add(k)
-        node = int(g.head[k])
+        node = head[k]
         if node in open_targets:
             open_targets.discard(node)
             found[node] = k
-        for j in range(g.first[k], g.first[k + 1]):
-            m = int(g.turns[j])
+        for j in range(first[k], first[k + 1]):
+            m = turns[j]
             if m in done:
                 continue
-            way = c + g.penalty[j]
-            way += cost(m, t_start + way)
-            if way < best.get(m, np.inf):
+            way = c + penalty[j]
+            way += minutes[m][min(int((t_start + way) // width), last)]
+            if way < best.get(m, infinite):
                 best[m] = way
                 back[m] = k
-                heapq.heappush(heap, (way, int(g.ids[m]), m))
+                heapq.heappush(heap, (way, ids[m], m))
     out = {}
     for node, k in found.items():
         chain = [k]
         while chain[-1] in back:
             chain.append(back[chain[-1]])
         chain.reverse()
-        out[node] = (best[k], [int(g.ids[i]) for i in chain], [float(best[i]) for i in chain])
+        out[node] = (best[k], [ids[i] for i in chain], [best[i] for i in chain])
     return out
 
 
