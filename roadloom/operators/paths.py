@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.session import kernel_partitions, written
+from roadloom.session import discarded, kernel_partitions, written
 
 #: Links of a graph that tasks may be given whole; a larger one is relaxed by joins instead.
 MAX_LINKS = 2_000_000
@@ -132,7 +132,7 @@ def relaxed_costs(links: DataFrame, turns: DataFrame, sources: DataFrame, within
     joins, for graphs too large for one task.
 
     Each round extends only the labels that improved in the last; tables are written between rounds, so the plan stays
-    short and survives lost executors. Ends when nothing improves.
+    short and survives lost executors, and the table of the round before is deleted. Ends when nothing improves.
     """
     edges = turns.where("penalty < double('infinity')").join(links.select(F.col("id").alias("out_link"), "minutes"), "out_link").select("in_link", "out_link", (F.col("penalty") + F.col("minutes")).alias("step"))
     edges = written(edges, "edges")
@@ -141,6 +141,7 @@ def relaxed_costs(links: DataFrame, turns: DataFrame, sources: DataFrame, within
     for _ in range(rounds):
         step = fresh.join(edges, F.col("id_link") == F.col("in_link")).groupBy("source", F.col("out_link").alias("id_link")).agg(F.min(F.col("cost") + F.col("step")).alias("new")).where(F.col("new") <= within)
         both = written(labels.join(step, ["source", "id_link"], "full").withColumn("better", F.coalesce(F.col("new") < F.col("cost") - 1e-12, F.col("new").isNotNull())).select("source", "id_link", F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), "better"), "labels")
+        discarded(labels)
         labels, fresh = both.drop("better"), both.where("better").drop("better")
         if fresh.isEmpty():
             return labels

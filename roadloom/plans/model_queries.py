@@ -64,9 +64,9 @@ def shortest_paths(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def relaxed_costs(s: SparkSession, d: str) -> DataFrame:
+    """From every node that a link leaves to every link that is reached."""
     links, turns = _network(s, d)
-    sources = links.agg(F.min("from_node").alias("source"))
-    return T.relaxed_costs(links, turns, sources, within=10.0)
+    return T.relaxed_costs(links, turns, links.select(F.col("from_node").alias("source")).distinct())
 
 
 @query("""SELECT o_orderkey AS path, round(sum(p_retailprice), 2) AS tot_cost, count(*) AS n_links FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1""")

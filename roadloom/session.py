@@ -58,3 +58,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/roadloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more, so that many rounds don't fill the shared folder."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("roadloom-"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
