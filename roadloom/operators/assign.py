@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.scalars import bpr
 from roadloom.operators.network import path_flows
 from roadloom.operators.paths import graph, path_costs, shortest_paths, tasks_of
-from roadloom.session import written
+from roadloom.session import discarded, written
 
 Vdf = Callable[[Column, Column, Column], Column]
 
@@ -99,7 +99,9 @@ def estimated(prior: DataFrame, matrix: DataFrame, counts: DataFrame, gamma1: fl
         aims.append(a)
         step = golden(lambda x: a - 2 * b * x + c * x * x, 0.0, longest * top)  # noqa: B023
         moved = F.col("g") - move * step
-        g = written(s.select("o", "d", "prior", F.when(moved < 0, 1.0).otherwise(moved).alias("g")), "demand")
+        old, g = g, written(s.select("o", "d", "prior", F.when(moved < 0, 1.0).otherwise(moved).alias("g")), "demand")
+        discarded(old)
+        discarded(s)
         if a - (a - 2 * b * step + c * step * step) <= 1e-9 * max(1.0, a):
             break
     return g.select("o", "d", F.col("g").alias("value")), aims

@@ -1,5 +1,6 @@
 """Registered queries do the whole job: over small tables of their own."""
 
+import numpy as np
 import pytest
 
 from roadloom.plans import model_queries as Q
@@ -8,7 +9,7 @@ from tests.test_engine import costs_by_link
 
 def road(n):
     """Links of 4 minutes there and back along n nodes."""
-    rows = [(2 * k + back, k + back, k + 1 - back, 30.0, False, 1.0, None, None, 800.0, 2.0, None, f"LINESTRING ({(k + back) * 2000} 0, {(k + 1 - back) * 2000} 0)") for k in range(n - 1) for back in (0, 1)]
+    rows = [(2 * k + back, k + back, k + 1 - back, 30.0, False, 2.0, None, None, 800.0, 2.0, None, f"LINESTRING ({(k + back) * 2000} 0, {(k + 1 - back) * 2000} 0)") for k in range(n - 1) for back in (0, 1)]
     return rows, "id bigint, from_node bigint, to_node bigint, v0 float, connector boolean, lanes float, alpha float, rcr float, capacity float, length float, modes array<string>, geometry string"
 
 
@@ -19,3 +20,18 @@ def test_relaxed_costs_has_every_source_and_no_cap(spark, tmp_path):
     rows, pairs = links.collect(), [(r.in_link, r.out_link, r.penalty) for r in turns.where("penalty < double('infinity')").collect()]
     assert got == pytest.approx({(s, k): c for s in range(5) for k, c in costs_by_link(rows, pairs, s).items()})
     assert max(got.values()) > 10
+
+
+def test_od_estimate_goes_on_until_the_aim_is_least(spark, tmp_path):
+    spark.createDataFrame(*road(5)).write.parquet(f"{tmp_path}/links.parquet")
+    box = lambda x: f"POLYGON (({x} -10, {x + 20} -10, {x + 20} 10, {x} 10, {x} -10))"
+    spark.createDataFrame([(k, box(2000 * k + 990)) for k in range(4)], "id bigint, geometry string").write.parquet(f"{tmp_path}/zones.parquet")
+    od = [(0, 1)] * 2 + [(0, 3)] * 6 + [(2, 3)] * 5
+    spark.createDataFrame([(k, *p) for k, p in enumerate(od)], "id_trip bigint, id_zone_o bigint, id_zone_d bigint").write.parquet(f"{tmp_path}/trips.parquet")
+    got = {(r.o, r.d): r.value for r in Q.QUERIES["od_estimate"](spark, str(tmp_path)).collect()}
+    pairs = sorted(set(od))
+    prior = np.array([25.0 * od.count(p) for p in pairs])
+    m = np.array([[float(o <= k < d) for o, d in pairs] for k in range(3)])
+    aim = lambda g: 0.5 * ((g - prior) ** 2).sum() + 0.5 * ((m @ g - 1.2 * m @ prior) ** 2).sum()
+    least = aim(np.linalg.solve(np.eye(3) + m.T @ m, prior + 1.2 * m.T @ m @ prior))
+    assert sorted(got) == pairs and aim(np.array([got[p] for p in pairs])) == pytest.approx(least, rel=1e-3)
