@@ -180,26 +180,29 @@ def vehicle_loading(s: SparkSession, d: str) -> DataFrame:
     return V.simulated(net, flows, s.range(2).select(F.col("id").alias("seed")), 60.0)
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
-    folder = f"{d}/fcd.parquet"
-    schema = s.read.parquet(folder).schema
-    return R.pings(s, f"{folder}*", schema, "60 minutes", 8)
-
-
-def _run(s: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
-    return R.run_available(df, f"{shared_folder(s)}/roadloom-stream-{uuid.uuid4().hex}", mode)
+def _run(s: SparkSession, d: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The whole table as a stream of eight files a batch: the horizon is its lateness, and what is in state at the end
+    comes out too."""
+    folder, own = f"{d}/fcd.parquet", f"{shared_folder(s)}/roadloom-stream-{uuid.uuid4().hex}"
+    fcd = s.read.parquet(folder)
+    late = R.lateness(fcd) + 60
+    newest = F.coalesce(F.max("ts"), F.lit("2000-01-01").cast(fcd.schema["ts"].dataType))
+    last = {"id_fcd": F.lit("-1"), "id_veh": F.lit(""), "ts": newest + F.make_dt_interval(secs=F.lit(late + 86_400)), "x": F.lit(0.0), "y": F.lit(0.0)}
+    end = fcd.agg(*(last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fcd.schema))
+    pings = R.pings(s, f"{folder}*", fcd.schema, f"{late} seconds", 8, f"{own}-end*")
+    return R.run_whole(made(pings), own, f"{own}-end", end)
 
 
 @query()
 def stream_slice_speeds(s: SparkSession, d: str) -> DataFrame:
-    return _run(s, R.slice_speeds(_stream(s, d)))
+    return _run(s, d, R.slice_speeds)
 
 
 @query()
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
-    return _run(s, R.gap_sessions(_stream(s, d)))
+    return _run(s, d, R.gap_sessions)
 
 
 @query()
 def stream_trips(s: SparkSession, d: str) -> DataFrame:
-    return _run(s, R.streamed_trips(_stream(s, d)))
+    return _run(s, d, R.streamed_trips)

@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -16,12 +17,15 @@ from roadloom.functions.geo import number_id, with_place
 from roadloom.operators.fcd_trips import Rules, cut_trips
 
 
-def pings(spark: SparkSession, folder: str, schema: StructType, horizon: str = "60 minutes", files: int = 1) -> DataFrame:
+def pings(spark: SparkSession, folder: str, schema: StructType, horizon: str = "60 minutes", files: int = 1, ends: str | None = None) -> DataFrame:
     """A stream of pings (id, id_veh, ts, engine, speed, x, y, progr) from a folder of parquet files, each id once.
 
     The horizon is the watermark: a ping later than that behind the newest is dropped, and so is the memory of an id.
+    ends: a second folder, for the ping that run_whole adds at the end.
     """
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    if ends:
+        raw = raw.unionByName(spark.readStream.schema(schema).parquet(ends))
     p = with_place(raw.select("geometry", "x", "y", number_id(F.col("id_fcd")).alias("id"), "id_veh", F.col("ts").cast("timestamp").alias("ts"), "engine", "speed", "heading", F.col("progr").cast("double").alias("progr")))
     p = p.where("id is not null and ts is not null and x is not null and id_veh is not null")
     return p.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["id"])
@@ -46,8 +50,8 @@ _STATE = "t array<double>, x array<double>, y array<double>, engine array<int>,
 def streamed_trips(p: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Trips of each vehicle as they end: state is the pings of the unfinished trip, carried from batch to batch.
 
-    A trip is sent out when a later trip has begun, or when the watermark is silence_s past its last ping. Pings
-    behind those already settled are dropped. In-order input gives the trips of the batch builder, unjoined.
+    A trip is sent out when the watermark is silence_s past its last ping, so that no ping that is still taken can join
+    it. Input that is late by the horizon at most gives the trips of the batch builder, unjoined.
     """
     rules = rules or Rules()
     names = ["t", "x", "y", "engine", "progr", "id"]
@@ -60,25 +64,28 @@ def streamed_trips(p: DataFrame, rules: Rules | None = None) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRIP.split(", ")])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names, map(np.asarray, state.get), strict=True)) if state.exists else {n: np.zeros(0) for n in names}
-        if state.hasTimedOut:
-            state.remove()
-            yield rows(key, held, cut_trips(held["t"], held["x"], held["y"], held["engine"], held["progr"].astype(float), rules))
-            return
-        new = pd.concat(list(batches))
-        new = new.assign(t=new.ts.astype("int64") / (1e9 if str(new.ts.dtype).startswith("datetime64[ns") else 1e6), engine=new.engine.fillna(1), progr=new.progr.astype(float))
-        a = {n: np.concatenate([held[n].astype(float), new[n].to_numpy(float)]) for n in names}
-        order = np.lexsort((a["id"], a["t"]))
-        a = {n: v[order] for n, v in a.items()}
-        # settled: everything before the last silence that parts trips whatever follows
-        cut = np.flatnonzero(np.diff(a["t"]) > rules.silence_s)
-        begin = int(cut[-1]) + 1 if len(cut) else 0
-        if begin:
+        a = dict(zip(names, (np.asarray(v, float) for v in state.get), strict=True)) if state.exists else {n: np.zeros(0) for n in names}
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches))
+            new = new.assign(t=new.ts.astype("int64") / (1e9 if str(new.ts.dtype).startswith("datetime64[ns") else 1e6), engine=new.engine.fillna(1), progr=new.progr.astype(float))
+            a = {n: np.concatenate([a[n], new[n].to_numpy(float)]) for n in names}
+            order = np.lexsort((a["id"], a["t"]))
+            a = {n: v[order] for n, v in a.items()}
+        # settled: everything before the first silence that the watermark hasn't passed; a silence parts trips whatever follows
+        mark, begin = state.getCurrentWatermarkMs(), 0
+        ends = np.r_[np.flatnonzero(np.diff(a["t"]) > rules.silence_s), len(a["t"]) - 1]
+        due = ((a["t"][ends] + rules.silence_s) * 1000).astype(np.int64)
+        passed = int(np.searchsorted(due, mark))
+        if passed:
+            begin = int(ends[passed - 1]) + 1
             done = {n: v[:begin] for n, v in a.items()}
             yield rows(key, done, cut_trips(done["t"], done["x"], done["y"], done["engine"], done["progr"], rules))
+        if begin == len(a["t"]):
+            state.remove()
+            return
         rest = {n: v[begin:] for n, v in a.items()}
         state.update((rest["t"].tolist(), rest["x"].tolist(), rest["y"].tolist(), rest["engine"].astype(int).tolist(), rest["progr"].tolist(), rest["id"].astype(int).tolist()))
-        state.setTimeoutTimestamp(max(int((rest["t"][-1] + rules.silence_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(due[passed]), mark + 1))
 
     slim = p.select("id_veh", "id", "ts", "x", "y", F.col("engine").cast("int").alias("engine"), "progr")
     return slim.groupBy("id_veh").applyInPandasWithState(step, TRIP, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -101,3 +108,19 @@ def run_available(df: DataFrame, folder: str, mode: str = "append", **options: A
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").options(**options).trigger(availableNow=True).foreachBatch(by_batch(f"{folder}/rows")).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows").drop("batch")
+
+
+def lateness(df: DataFrame) -> int:
+    """Seconds, rounded up, by which a ping of a table of files may be behind the newest read before it, whatever files
+    of one modification time come first."""
+    f = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("_metadata.file_modification_time").alias("at"), F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("z"))
+    newest = F.max("z").over(W.orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))  # one row a file
+    return f.select(F.ceil(newest.cast("double") - F.col("a").cast("double")).alias("s")).agg(F.max("s")).first()[0] or 0
+
+
+def run_whole(df: DataFrame, folder: str, ends: str, end: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a bounded stream over all that is there, then once more with a last ping so far ahead that the watermark
+    passes all that is still in state; df reads that ping from the folder ends, and it gives no row itself."""
+    run_available(df, folder, mode)
+    end.coalesce(1).write.parquet(ends)
+    return run_available(df, folder, mode)

@@ -1,10 +1,14 @@
 """Registered queries do the whole job: over small tables of their own."""
 
+from datetime import timedelta
+
 import numpy as np
 import pytest
 
+from roadloom.operators.fcd_trips import build_trips
 from roadloom.plans import model_queries as Q
 from tests.test_engine import costs_by_link
+from tests.test_streaming import SCHEMA, T0
 
 
 def road(n):
@@ -35,3 +39,19 @@ def test_od_estimate_goes_on_until_the_aim_is_least(spark, tmp_path):
     aim = lambda g: 0.5 * ((g - prior) ** 2).sum() + 0.5 * ((m @ g - 1.2 * m @ prior) ** 2).sum()
     least = aim(np.linalg.solve(np.eye(3) + m.T @ m, prior + 1.2 * m.T @ m @ prior))
     assert sorted(got) == pairs and aim(np.array([got[p] for p in pairs])) == pytest.approx(least, rel=1e-3)
+
+
+def test_streams_keep_late_pings_and_the_open_end(spark, tmp_path):
+    data = [(str(1000 * v + i), f"v{v}", T0 + timedelta(seconds=30 * i + 4000 * (i // 40)), 1, 36.0, 90.0, None, 300.0 * i, 0.0, None, 1, T0) for v in range(2) for i in range(240)]
+    late = [r for r in data if int(r[0]) % 7 == 3]  # come last, hours behind
+    rest = sorted((r for r in data if r not in late), key=lambda r: r[2])
+    files = [rest[k : k + 40] for k in range(0, len(rest), 40)] + [late[:20], late[20:]]
+    assert len(files) > 8
+    for part in files:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/fcd.parquet")
+    run = lambda q: Q.QUERIES[q](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in run("stream_slice_speeds")) == 480
+    sessions = run("stream_sessions")
+    assert len(sessions) == 12 and sum(r.n for r in sessions) == 480
+    batch = sorted((r.id_veh, r.id_trip, r.ids[-1], r.n, round(r.dist)) for r in build_trips(spark.read.parquet(f"{tmp_path}/fcd.parquet")).collect())
+    assert sorted((r.id_veh, r.id_trip, r.id_last, r.n, round(r.dist)) for r in run("stream_trips")) == batch and len(batch) == 12
