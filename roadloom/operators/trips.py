@@ -102,17 +102,16 @@ def stops(t: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, least_s: f
                 i += 1
                 continue
             j = _until(x, y, i, end, within)
-            best, k = (t[j - 1] - t[i], i, j), i
-            while best[2] < end and k + 1 < j:  # a later start may reach further
-                k += 1
-                if t[end - 1] - t[k] <= best[0]:
-                    break
-                if within(k, best[2] + 1):
-                    e = _until(x, y, k, end, within)
-                    if t[e - 1] - t[k] > best[0]:
-                        best = (t[e - 1] - t[k], k, e)
-                elif t[k] - t[i] > least_s:
+            best, k, e = (t[j - 1] - t[i], i, j), i, j
+            while e < end:  # a later start may reach further: the first that takes in ping e, found by halving
+                low, k = k, e
+                while k - low > 1:
+                    mid = (low + k) // 2
+                    low, k = (low, mid) if within(mid, e + 1) else (mid, k)
+                if k >= j or t[end - 1] - t[k] <= best[0]:
                     break
+                e = _until(x, y, k, end, within)
+                best = max(best, (t[e - 1] - t[k], k, e), key=lambda r: r[0])
             out.append((int(best[1]), int(best[2])))
             i = best[2]
     return out

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from roadloom.operators.fcd_trips import build_trips
+from roadloom.operators.trips import stops
 from roadloom.plans import model_queries as Q
 from tests.test_engine import costs_by_link
 from tests.test_streaming import SCHEMA, T0
@@ -55,3 +56,9 @@ def test_streams_keep_late_pings_and_the_open_end(spark, tmp_path):
     assert len(sessions) == 12 and sum(r.n for r in sessions) == 480
     batch = sorted((r.id_veh, r.id_trip, r.ids[-1], r.n, round(r.dist)) for r in build_trips(spark.read.parquet(f"{tmp_path}/fcd.parquet")).collect())
     assert sorted((r.id_veh, r.id_trip, r.id_last, r.n, round(r.dist)) for r in run("stream_trips")) == batch and len(batch) == 12
+
+
+def test_a_longer_stop_that_begins_long_after_the_first_is_found():
+    t = np.arange(101) * 60.0
+    x = np.where(t <= 660, 0.0, np.where(t <= 1200, 60.0, 130.0))
+    assert stops(t, x, 0 * x, 60.0, 600.0) == [(12, 101)]
