@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import number_id, with_place
 from roadloom.operators.delivery import first_delivery
-from roadloom.operators.sequences import DAY_US, micros, natural_groups, per_group
+from roadloom.operators.sequences import DAY_US, micros, natural_groups, per_group, spans
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def trip_rows(tab: pa.Table, starts: np.ndarray, rules: Rules) -> pa.Table:
     odo = tab["progr"].to_numpy(zero_copy_only=False).astype(float)
     veh = tab["id_veh"]
     out = []
-    for a, b in zip(starts, [*starts[1:], len(t)], strict=True):
+    for a, b in spans(starts, len(t)):
         for trip in cut_trips(t[a:b] / 1e6, x[a:b], y[a:b], engine[a:b], odo[a:b], rules):
             k = a + np.array(trip)
             d = float(np.hypot(np.diff(x[k]), np.diff(y[k])).sum())

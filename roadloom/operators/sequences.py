@@ -40,6 +40,12 @@ def changes(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def spans(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """First and next row of each group of n rows, `starts` being the groups' first rows; no rows have no groups."""
+    first = [int(a) for a in starts]
+    return list(zip(first, [*first[1:], n], strict=True)) if first else []
+
+
 def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """Runs fn(table of whole groups sorted by order, first row of each group) over df grouped by keys."""
 

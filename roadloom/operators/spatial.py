@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import finite
 from roadloom.operators.delivery import first_delivery, first_pings
-from roadloom.operators.sequences import per_group
+from roadloom.operators.sequences import per_group, spans
 from roadloom.session import written
 
 Metric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -198,7 +198,7 @@ def near_pairs(points: DataFrame, radius: float, metric: Metric = planar, pivots
         entity = tab["entity"].combine_chunks().dictionary_encode().indices.to_numpy()
         query = tab["query"].to_numpy()
         left, right = [], []
-        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+        for a, b in spans(starts, len(x)):
             q, c = a + np.flatnonzero(query[a:b]), a + np.flatnonzero(~query[a:b])
             i, k = radius_pairs(x[q], y[q], x[c], y[c], np.full(len(c), float(radius)), metric)
             i, k = q[i], c[k]
@@ -231,7 +231,7 @@ def region_of(points: DataFrame, zones: DataFrame, metric: Metric = planar, pivo
         query = tab["query"].to_numpy()
         r = tab["r"].to_numpy()
         q_all, c_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+        for a, b in spans(starts, len(x)):
             q, c = a + np.flatnonzero(query[a:b]), a + np.flatnonzero(~query[a:b])
             i, k = radius_pairs(x[q], y[q], x[c], y[c], r[c], metric)
             i, k = q[i], c[k]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators.delivery import first_delivery, first_pings
-from roadloom.operators.sequences import DAY_US, changes, micros, per_group, with_halo
+from roadloom.operators.sequences import DAY_US, changes, micros, per_group, spans, with_halo
 
 #: The study area (x from, x to, y from, y to) in metres, and the speed no vehicle exceeds in km/h.
 AREA = (610_000.0, 670_000.0, 4_830_000.0, 4_890_000.0)
@@ -150,7 +150,7 @@ def flagged_readings(df: DataFrame, low: float = 0.0, high: float = 250.0, stuck
 
     def kernel(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         v = tab["avg_speed"].to_numpy()
-        parts = [implausible_readings(v[a:b], low, high, stuck, share, longest, half) for a, b in zip(starts, [*starts[1:], len(v)], strict=True)]
+        parts = [implausible_readings(v[a:b], low, high, stuck, share, longest, half) for a, b in spans(starts, len(v))]
         kind, med, mad, score = (np.concatenate(p) for p in zip(*parts, strict=True))
         for name, c in (("roll_median", med), ("roll_mad", mad), ("hampel_score", score), ("kind", kind)):
             tab = tab.append_column(name, pa.array(c))

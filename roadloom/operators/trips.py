@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.operators.sequences import DAY_US, natural_groups, per_group
+from roadloom.operators.sequences import DAY_US, natural_groups, per_group, spans
 from roadloom.operators.spikes import AREA, MAX_KMH, flagged_pings
 
 
@@ -157,7 +157,7 @@ def stops_and_trips(fcd: DataFrame, radius: float = 60.0, stop_s: float = 600.0,
     def find_heads(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         t, x, y = tab["t"].to_numpy() / 1e6, tab["x"].to_numpy(), tab["y"].to_numpy()
         head = np.ones(len(t), bool)
-        for a, b in zip(starts, [*starts[1:], len(t)], strict=True):
+        for a, b in spans(starts, len(t)):
             head[a + first_cut(t[a:b], x[a:b], y[a:b], radius, stop_s) : b] = False
         return tab.append_column("head", pa.array(head))
 
@@ -169,7 +169,7 @@ def stops_and_trips(fcd: DataFrame, radius: float = 60.0, stop_s: float = 600.0,
         s, n = t / 1e6, len(t)
         stop_of = np.zeros(n, np.int64)
         count = 0
-        for a, b in zip(starts, [*starts[1:], n], strict=True):
+        for a, b in spans(starts, n):
             for i, j in stops(s[a:b], x[a:b], y[a:b], radius, stop_s):
                 count += 1
                 stop_of[a + i : a + j] = count

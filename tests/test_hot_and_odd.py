@@ -2,10 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roadloom.operators.delivery import first_delivery
 from roadloom.operators.intervals import p1_found
+from roadloom.operators.sequences import spans
 from roadloom.operators.spikes import flagged_readings, p4_found
 from roadloom.operators.timestamps import p7_found
 from roadloom.operators.trips import stops_and_trips
@@ -50,3 +53,24 @@ def test_repeated_rows_and_equal_times(spark):
     assert got == [("stop", 0, 39, 40)]
     readings = spark.createDataFrame([(i, T0 + timedelta(minutes=15 * i), 1, 50.0 + (i == 5) * 60 + i % 2, T0) for i in range(10)] * 2, "id_res bigint, slot_ts timestamp_ntz, id_link bigint, avg_speed double, published_at timestamp_ntz")
     assert [(r.id_res, r.kind) for r in flagged_readings(readings).where("kind <> ''").collect()] == [(5, "spike")]
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 64, 200])
+def test_kernel_calls_left_without_rows(spark, partitions):
+    """Around midnight a block may hold nothing but halo rows, and a partition nothing but such a block."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        starts = (T0, T0 + timedelta(hours=12), T0 - timedelta(minutes=10))
+        rows = [(str(100 * v + i), f"v{v}", start + timedelta(seconds=60 * i), 1, 630_000.0, 4_850_000.0, None, 1, T0) for v, start in enumerate(starts) for i in range(20)]
+        rows.append(("999", "out", T0, 1, 0.0, 0.0, None, 1, T0))  # a vehicle of which nothing is plausible
+        df = spark.createDataFrame(rows, FCD)
+        got = sorted((r.kind, r.id_veh, r.id_fcd_first, r.id_fcd_last) for r in stops_and_trips(df).collect())
+        assert got == [("stop", f"v{v}", 100 * v, 100 * v + 19) for v in range(3)]
+        assert [r.id for r in p4_found(df, spark.createDataFrame([], "id_res bigint, slot_ts timestamp_ntz, id_link bigint, avg_speed double, published_at timestamp_ntz")).collect()] == [999]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_no_rows_have_no_spans():
+    assert spans(np.zeros(0, int), 0) == [] and spans(np.array([0, 3]), 5) == [(0, 3), (3, 5)]
