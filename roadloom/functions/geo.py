@@ -18,8 +18,12 @@ def finite(c: Column) -> Column:
 
 
 def first_coordinates(geometry: Column) -> tuple[Column, Column]:
-    """The first two numbers of the innermost (last opened) coordinate list of a WKT, EWKT or GeoJSON text."""
-    plain = F.translate(geometry, "[],\t\n", "()   ")
+    """The first two numbers of the innermost (last opened) coordinate list of a WKT, EWKT or GeoJSON text.
+
+    Most texts are WKT with blanks; only the others are rewritten to that form first.
+    """
+    odd = geometry.contains("[") | geometry.contains("\t") | geometry.contains("\n")
+    plain = F.when(odd, F.translate(geometry, "[],\t\n", "()   ")).otherwise(geometry)
     inner = F.trim(F.substring_index(F.substring_index(plain, "(", -1), ")", 1))
     rest = F.ltrim(F.substr(inner, F.instr(inner, " ")))
     return tuple(finite(F.substring_index(c, " ", 1).try_cast("double")) for c in (inner, rest))

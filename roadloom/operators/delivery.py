@@ -6,25 +6,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadloom.functions.geo import number_id, with_place
 
 
+#: Microseconds that stand for an unknown time of delivery, after every known one, and the ties told apart.
+_LATEST, _TIES = 2**62, 10**18
+#: Types whose values an aggregation buffer can hold in place, so that Spark aggregates them by hashing.
+_FIXED = (T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+
+
 def first_delivery(df: DataFrame, key: Column, received: Sequence[str], keep: Sequence[str], key_name: str = "key", count_name: str = "n_deliveries") -> DataFrame:
     """One row per key: the columns `keep` of its first-received copy, and how often it was delivered.
 
-    Aggregation by key with min_by over a struct of delivery columns, so partial aggregation on the map side leaves
-    one row per key and task, and a key holding a third of all rows is never gathered.
-    Nulls: rows with a null key are left aside; copies with a null in a `received` column come after those without.
-    Ties in `received` go to the copy whose kept values have the smallest hash, whatever the order of the rows.
-    Names of df's other columns don't matter: the result has only key_name, keep and count_name.
+    Aggregation by key with min_by over delivery time and tie-break, so partial aggregation on the map side leaves one
+    row per key and task, and a key holding a third of all rows is never gathered. Where all of `keep` have a fixed
+    width, time and tie-break are packed into one number: no buffer varies in size, and Spark hashes instead of
+    sorting. With text among them the order is a struct and the copy another.
+    received[0] is a timestamp or whole number; a null in it comes last. Ties go to the copy whose kept values (and
+    further columns of `received`) have the smallest hash, whatever the order of the rows. Rows with a null key are left
+    aside. Names of df's other columns don't matter: the result has only key_name, keep and count_name.
     """
-    # text and nested values sort no further than their hash: the order needs only to be the same every time
-    order = [x for c in received for x in (F.col(c).isNull(), F.col(c))] + [F.xxhash64(*keep)]
-    agg = df.select(key.alias("__key"), F.struct(*keep).alias("__kept"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__order"))
-    agg = agg.where("__key is not null").groupBy("__key").agg(F.min_by("__kept", "__order").alias("__kept"), F.count(F.lit(1)).alias("__n"))
-    agg = agg.where("__kept is not null")  # keeps the choice of the copy in the plan even where only keys are asked for
-    return agg.select(F.col("__key").alias(key_name), *[F.col("__kept")[c].alias(c) for c in keep], F.col("__n").alias(count_name))
+    time = F.col(received[0])
+    if isinstance(df.schema[received[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+        time = F.unix_micros(time.cast("timestamp"))
+    at, tie = F.coalesce(time.cast("bigint"), F.lit(_LATEST)), F.pmod(F.xxhash64(*received[1:], *keep), F.lit(_TIES))
+    fixed = all(isinstance(df.schema[c].dataType, _FIXED) for c in keep)
+    order = (at.cast("decimal(19,0)") * F.lit(_TIES).cast("decimal(19,0)") + tie.cast("decimal(18,0)")) if fixed else F.struct(at, tie)
+    values = [F.col(c).alias(f"__v{i}") for i, c in enumerate(keep)] if fixed else [F.struct(*keep).alias("__v")]
+    rows = df.select(key.alias("__key"), at.alias("__at"), order.alias("__order"), *values).where("__key is not null")
+    chosen = [F.min_by(c, "__order").alias(c) for c in rows.columns if c.startswith("__v")]
+    agg = rows.groupBy("__key").agg(F.min_by("__at", "__order").alias("__at"), *chosen, F.count(F.lit(1)).alias("__n"))
+    agg = agg.where("__at is not null")  # keeps the choice of the copy in the plan even where only keys are asked for
+    kept = [F.col(f"__v{i}") if fixed else F.col("__v")[c] for i, c in enumerate(keep)]
+    return agg.select(F.col("__key").alias(key_name), *[v.alias(c) for v, c in zip(kept, keep, strict=True)], F.col("__n").alias(count_name))
 
 
 def first_pings(fcd: DataFrame) -> DataFrame:
