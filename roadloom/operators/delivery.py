@@ -35,20 +35,22 @@ def first_delivery(df: DataFrame, key: Column, received: Sequence[str], keep: Se
     fixed = all(isinstance(df.schema[c].dataType, _FIXED) for c in keep)
     order = (at.cast("decimal(19,0)") * F.lit(_TIES).cast("decimal(19,0)") + tie.cast("decimal(18,0)")) if fixed else F.struct(at, tie)
     values = [F.col(c).alias(f"__v{i}") for i, c in enumerate(keep)] if fixed else [F.struct(*keep).alias("__v")]
-    rows = df.select(key.alias("__key"), at.alias("__at"), order.alias("__order"), *values).where("__key is not null")
+    if fixed:
+        values.append(at.alias("__v"))
+    rows = df.select(key.alias("__key"), order.alias("__order"), *values).where("__key is not null")
     chosen = [F.min_by(c, "__order").alias(c) for c in rows.columns if c.startswith("__v")]
-    agg = rows.groupBy("__key").agg(F.min_by("__at", "__order").alias("__at"), *chosen, F.count(F.lit(1)).alias("__n"))
-    agg = agg.where("__at is not null")  # keeps the choice of the copy in the plan even where only keys are asked for
+    agg = rows.groupBy("__key").agg(*chosen, F.count(F.lit(1)).alias("__n"))
+    agg = agg.where("__v is not null")  # keeps the choice of the copy in the plan even where only keys are asked for
     kept = [F.col(f"__v{i}") if fixed else F.col("__v")[c] for i, c in enumerate(keep)]
     return agg.select(F.col("__key").alias(key_name), *[v.alias(c) for v, c in zip(kept, keep, strict=True)], F.col("__n").alias(count_name))
 
 
-def first_pings(fcd: DataFrame) -> DataFrame:
-    """(id, id_veh, ts, engine, x, y): the first-received copy of each id_fcd that has a time and a place.
+def first_pings(fcd: DataFrame, also: Sequence[str] = ("engine",)) -> DataFrame:
+    """(id, id_veh, ts, x, y) and the columns `also` of the first-received copy of each id_fcd that has a time and a place.
 
     id_fcd counts as a number; the copy is chosen before rows without time or place are left aside. The place is
-    parsed before the shuffle, which so carries no text but id_veh.
+    parsed before the shuffle, which so carries no text but id_veh. Columns of df other than these don't matter.
     """
-    slim = with_place(fcd.select("geometry", "x", "y", number_id(F.col("id_fcd")).alias("id"), "id_veh", "ts", "engine", "received_at", "batch"))
-    one = first_delivery(slim, F.col("id"), ["received_at", "batch"], ["id_veh", "ts", "engine", "x", "y"], "id")
+    slim = with_place(fcd.select("geometry", "x", "y", number_id(F.col("id_fcd")).alias("id"), "id_veh", "ts", *also, "received_at"))
+    one = first_delivery(slim, F.col("id"), ["received_at"], ["id_veh", "ts", *also, "x", "y"], "id")
     return one.where("ts is not null and x is not null and id_veh is not null").drop("n_deliveries")

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import number_id, with_place
-from roadloom.operators.delivery import first_delivery
+from roadloom.operators.delivery import first_pings
 from roadloom.operators.sequences import DAY_US, micros, natural_groups, per_group, spans
 
 
@@ -110,9 +109,7 @@ TRIP = "id_veh string, id_trip bigint, id_last bigint, t_o bigint, t_d bigint, x
 
 def fcd_pings(fcd: DataFrame) -> DataFrame:
     """First-received pings with engine and odometer (progr) as the recorder needs them."""
-    f = with_place(fcd.select("geometry", "x", "y", number_id(F.col("id_fcd")).alias("id"), "id_veh", "ts", "engine", F.col("progr").cast("double").alias("progr"), "received_at", "batch"))
-    one = first_delivery(f, F.col("id"), ["received_at", "batch"], ["id_veh", "ts", "engine", "progr", "x", "y"], "id")
-    return one.where("ts is not null and x is not null and id_veh is not null")
+    return first_pings(fcd.withColumn("progr", F.col("progr").cast("double")), ("engine", "progr"))
 
 
 def trip_rows(tab: pa.Table, starts: np.ndarray, rules: Rules) -> pa.Table:

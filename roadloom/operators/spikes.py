@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators.delivery import first_delivery, first_pings
-from roadloom.operators.sequences import DAY_US, changes, micros, per_group, spans, with_halo
+from roadloom.operators.sequences import DAY_US, micros, per_group, spans, with_halo
 
 #: The study area (x from, x to, y from, y to) in metres, and the speed no vehicle exceeds in km/h.
 AREA = (610_000.0, 670_000.0, 4_830_000.0, 4_890_000.0)
@@ -66,28 +64,21 @@ def impossible_places(t: np.ndarray, x: np.ndarray, y: np.ndarray, starts: np.nd
     return bad
 
 
-def flagged_pings(fcd: DataFrame, area: tuple = AREA, max_kmh: float = MAX_KMH, block_us: int = DAY_US, then: Callable[[pa.Table, np.ndarray], pa.Table] | None = None, adds: str = "bad boolean") -> DataFrame:
+def flagged_pings(fcd: DataFrame, area: tuple = AREA, max_kmh: float = MAX_KMH, block_us: int = DAY_US) -> DataFrame:
     """(id_veh, block, id, t, x, y, bad) of each first-received ping with time and place.
 
-    With `then`, only the plausible ones, with the column `adds` that `then` appends, without `bad`.
-
     A vehicle's sequence is cut into blocks of time with a halo as long as it takes to cross the area, so a hot vehicle
     is spread over tasks and a block sees every ping that can speak for or against its own. Ties in time are in order
     of id. Empty input gives no rows; null ids, times and places are left aside by first_pings.
     """
-    rows = first_pings(fcd).select("id_veh", "id", micros(F.col("ts")).alias("t"), "x", "y")
+    rows = first_pings(fcd, ()).select("id_veh", "id", micros(F.col("ts")).alias("t"), "x", "y")
 
     def kernel(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         t, x, y = (tab[c].to_numpy() for c in ("t", "x", "y"))
         bad = impossible_places(t, x, y, starts, area, max_kmh)
-        keep = tab["core"].to_numpy(zero_copy_only=False)
-        tab = tab.select(["id_veh", "block", "id", "t", "x", "y"])
-        if then is None:
-            return tab.append_column("bad", pa.array(bad)).filter(pa.array(keep))
-        tab = tab.filter(pa.array(keep & ~bad)).combine_chunks()
-        return then(tab, changes(tab, ["id_veh", "block"]))
-
-    return per_group(with_halo(rows, "t", block_us, halo_us(area, max_kmh)), ["id_veh", "block"], ["t", "id"], kernel, "id_veh string, block int, id bigint, t bigint, x double, y double, " + adds)
+        return tab.select(["id_veh", "block", "id", "t", "x", "y"]).append_column("bad", pa.array(bad)).filter(tab["core"])
+
+    return per_group(with_halo(rows, "t", block_us, halo_us(area, max_kmh)), ["id_veh", "block"], ["t", "id"], kernel, "id_veh string, block int, id bigint, t bigint, x double, y double, bad boolean")
 
 
 def _rolling(v: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,18 +1,22 @@
 """Stops and trips from location pings.
 
-Order of work: impossible places out (spikes.flagged_pings), blocks of time joined where a stop may span their edge,
-stops and trip pieces per group, pieces joined across groups.
+Order of work: impossible places out (spikes.flagged_pings); SQL windows over blocks of a vehicle's time give each ping
+its lagged distance and speed; hysteresis and gaps in time cut the pings into islands; short stays are merged into the
+moves around them; pieces are joined over the blocks' edges; only stays that a circle may or may not hold are searched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.operators.sequences import DAY_US, natural_groups, per_group, spans
+from roadloom.operators.sequences import DAY_US
 from roadloom.operators.spikes import AREA, MAX_KMH, flagged_pings
 
 
@@ -117,84 +121,107 @@ def stops(t: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, least_s: f
     return out
 
 
-def first_cut(t: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, least_s: float) -> int:
-    """The first ping that certainly lies in no stop, or len(t).
+PIECE = "id_veh string, kind string, head struct<t:bigint,id:bigint,x:double,y:double>, tail struct<t:bigint,id:bigint,x:double,y:double>, n bigint, dist double, top double"
+
 
-    Anchors: each is the first ping further than 2 * radius from the one before. No run within radius holds two
-    successive anchors, so a stop with anchor k lies between anchors k - 1 and k + 1; if those pings last less than
-    least_s, there is none, and the sequence may be cut before anchor k.
+def islands(rows: DataFrame, radius: float, stop_s: float, gap_s: float) -> DataFrame:
+    """Pings (id_veh, block, id, t, x, y) with the number of their `piece` in the block, `step`, `speed`, and whether
+    the piece is a `stay` (else a move), lies at the `first` or `last` edge of the block, and is `unsure`.
+
+    Hysteresis: a stay ends with one step over 2 * radius, as no place has both ends within radius; a moving vehicle
+    stays again only after stop_s without such a step. Stays shorter than that are merged into the move around them,
+    unless they lie at an edge of the block and may go on beyond it. Moves are cut at silences over gap_s, stays aren't.
+    A stay is sure if the circle round its box has at most the radius.
     """
-    n, reach = len(t), 4 * radius * radius
-    anchors = [0]
-    while True:
-        a = anchors[-1]
-        j, step = a + 1, 16
-        while j < n:
-            far = np.flatnonzero((x[j : j + step] - x[a]) ** 2 + (y[j : j + step] - y[a]) ** 2 > reach)
-            if len(far):
-                j += int(far[0])
-                break
-            j, step = min(n, j + step), step * 2
-        if j >= n:
-            return n
-        anchors.append(j)
-        if len(anchors) > 2 and t[j - 1] - t[anchors[-3] + 1] < least_s:
-            return anchors[-2]
+    day = ["id_veh", "block"]
+    by_time = W.partitionBy(*day).orderBy("t", "id")
+    back = lambda c: F.col(c) - F.lag(c).over(by_time)
+    rows = rows.withColumns({"step": F.hypot(back("x"), back("y")), "dt": back("t") / 1e6})
+    rows = rows.withColumns({"speed": F.try_divide("step", "dt"), "leaves": F.coalesce(F.col("step") > 2 * radius, F.lit(True))})
+    rows = rows.withColumn("island", F.sum(F.col("leaves").cast("int")).over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # islands follow each other in time, so one more sort of the same partitions serves all that follows
+    whole = W.partitionBy(*day, "island").orderBy("t", "id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    span = lambda c: F.max(c).over(whole) - F.min(c).over(whole)
+    rows = rows.withColumns({"lasts": span("t"), "wide": span("x"), "high": span("y")})
+    ordered = W.partitionBy(*day).orderBy("island", "t", "id")
+    every = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({"first": F.col("island") == 1, "last": F.col("island") == F.max("island").over(every)})
+    edge = F.col("first") | F.col("last")
+    rows = rows.withColumn("stay", edge | (F.col("lasts") >= F.lit(int(stop_s * 1e6))))
+    rows = rows.withColumn("unsure", edge | F.col("stay") & (F.hypot("wide", "high") > 2 * radius))
+    turn = F.col("leaves") & (F.col("stay") | F.coalesce(F.lag("stay").over(ordered), F.lit(True)))
+    rows = rows.withColumn("begins", turn | ~F.col("stay") & (F.col("dt") > gap_s))
+    return rows.withColumn("piece", F.sum(F.coalesce("begins", F.lit(True)).cast("int")).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def _resolve(radius: float, stop_s: float, gap_s: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces as they are, but a stay with pings is searched for the runs that a circle holds; what lies between them
+    is moves, cut at silences."""
+    ping = pa.struct([("t", pa.int64()), ("id", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
+    schema = pa.schema([("id_veh", pa.string()), ("kind", pa.string()), ("head", ping), ("tail", ping), ("n", pa.int64()), ("dist", pa.float64()), ("top", pa.float64())])
+
+    def searched(veh: str, pings: pa.StructArray) -> list[tuple]:
+        t, ids, x, y = (pings.field(c).to_numpy(zero_copy_only=False) for c in ("t", "id", "x", "y"))
+        s = t / 1e6
+        stop_of = np.zeros(len(t), np.int64)
+        for k, (i, j) in enumerate(stops(s, x, y, radius, stop_s), 1):
+            stop_of[i:j] = k
+        new = np.r_[True, (np.diff(stop_of) != 0) | (stop_of[1:] == 0) & (np.diff(s) > gap_s)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(t)] - 1
+        step = np.r_[0.0, np.hypot(np.diff(x), np.diff(y))]
+        speed = np.r_[0.0, step[1:] / np.maximum(np.diff(s), 1e-6)]
+        at = lambda i: {"t": int(t[i]), "id": int(ids[i]), "x": float(x[i]), "y": float(y[i])}
+        return [(veh, "stop" if stop_of[a] else "trip", at(a), at(b), int(b - a + 1), float(step[a + 1 : b + 1].sum()), float(speed[a + 1 : b + 1].max(initial=0.0))) for a, b in zip(first, last, strict=True)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            there = b.column("pings").is_valid()
+            yield from pa.Table.from_batches([b.filter(pc.invert(there))]).select(schema.names).cast(schema).to_batches()
+            hard = b.filter(there)
+            for k in range(hard.num_rows):
+                found = searched(hard.column("id_veh")[k].as_py(), hard.column("pings")[k].values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
 
-PIECES = "id_veh string, kind string, id_first bigint, id_last bigint, t_first bigint, t_last bigint, x_first double, y_first double, x_last double, y_last double, n bigint, dist double, at_start boolean, at_end boolean"
+    return run
 
 
 def stops_and_trips(fcd: DataFrame, radius: float = 60.0, stop_s: float = 600.0, least_pings: int = 5, gap_s: float = 900.0, area: tuple = AREA, max_kmh: float = MAX_KMH, block_us: int = DAY_US) -> DataFrame:
-    """(kind, id_veh, id_fcd_first, id_fcd_last, ts_first, ts_last, duration_s, distance_m, n_pings), kind stop or trip.
+    """(kind, id_veh, id_fcd_first, id_fcd_last, ts_first, ts_last, duration_s, distance_m, n_pings, top_kmh), kind stop
+    or trip.
 
-    A vehicle's sequence is cut before the first ping of a block that certainly lies in no stop; blocks without one
-    belong to the group before. Groups are so bounded by the time a vehicle stays at about one place, and a hot vehicle
-    is spread over tasks. Trips are joined across the cuts from one summary row each. Equal times are in order of id;
-    rows without id, time or place are left aside; an empty table gives no rows.
+    A vehicle's sequence is cut into blocks of time, so a hot vehicle is spread over tasks; from there on a piece is one
+    row: a move, or a stay, which keeps its pings only while it is unsure or lies at its block's edge. Pieces are joined
+    over the edges, stays that are still unsure are searched, and moves that follow each other within gap_s are trips.
+    Equal times are in order of id; rows without id, vehicle, time or place are left aside; an empty table gives no rows.
     """
-
-    def find_heads(tab: pa.Table, starts: np.ndarray) -> pa.Table:
-        t, x, y = tab["t"].to_numpy() / 1e6, tab["x"].to_numpy(), tab["y"].to_numpy()
-        head = np.ones(len(t), bool)
-        for a, b in spans(starts, len(t)):
-            head[a + first_cut(t[a:b], x[a:b], y[a:b], radius, stop_s) : b] = False
-        return tab.append_column("head", pa.array(head))
-
-    clean = flagged_pings(fcd, area, max_kmh, block_us, find_heads, "head boolean")
-    rows = natural_groups(clean, "id_veh").select("id_veh", "group", "id", "t", "x", "y")
-
-    def segment(tab: pa.Table, starts: np.ndarray) -> pa.Table:
-        t, x, y, ids = (tab[c].to_numpy() for c in ("t", "x", "y", "id"))
-        s, n = t / 1e6, len(t)
-        stop_of = np.zeros(n, np.int64)
-        count = 0
-        for a, b in spans(starts, n):
-            for i, j in stops(s[a:b], x[a:b], y[a:b], radius, stop_s):
-                count += 1
-                stop_of[a + i : a + j] = count
-        group_start = np.zeros(n + 1, bool)
-        group_start[starts] = group_start[n] = True
-        new = group_start[:n].copy()
-        new[1:] |= (stop_of[1:] != stop_of[:-1]) | ((stop_of[1:] == 0) & (np.diff(s) > gap_s))
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], n] - 1
-        step = np.r_[0.0, np.where(new[1:], 0.0, np.hypot(np.diff(x), np.diff(y)))]
-        dist = np.add.reduceat(step, first) if n else step
-        stop = stop_of[first] > 0
-        at_start, at_end = group_start[first], group_start[last + 1]
-        keep = stop | at_start | at_end | (last - first + 1 >= least_pings)
-        f, e = first[keep], last[keep]
-        cols = [tab["id_veh"].take(f), pa.array(np.where(stop[keep], "stop", "trip")), ids[f], ids[e], t[f], t[e], x[f], y[f], x[e], y[e], (e - f + 1).astype(np.int64), dist[keep], at_start[keep], at_end[keep]]
-        return pa.table(cols, names=[c.split()[0] for c in PIECES.split(", ")])
-
-    pieces = per_group(rows, ["id_veh", "group"], ["t", "id"], segment, PIECES)
-    order = W.partitionBy("id_veh").orderBy("t_first", "id_first")
-    prev = lambda c: F.lag(c).over(order)
-    step = F.hypot(F.col("x_first") - prev("x_last"), F.col("y_first") - prev("y_last"))
-    joined = (F.col("kind") == "trip") & (prev("kind") == "trip") & F.col("at_start") & prev("at_end") & (F.col("t_first") - prev("t_last") <= F.lit(int(gap_s * 1e6)))
-    pieces = pieces.withColumn("joined", F.coalesce(joined, F.lit(False))).withColumn("dist", F.when(F.col("joined"), F.col("dist") + step).otherwise(F.col("dist")))
-    pieces = pieces.withColumn("run", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(order))
-    whole = pieces.groupBy("id_veh", "run", "kind").agg(F.min_by("id_first", F.struct("t_first", "id_first")).alias("id_fcd_first"), F.max_by("id_last", F.struct("t_last", "t_first", "id_first")).alias("id_fcd_last"), F.min("t_first").alias("a"), F.max("t_last").alias("z"), F.sum("n").alias("n_pings"), F.sum("dist").alias("distance_m"))
+    rows = islands(flagged_pings(fcd, area, max_kmh, block_us).where("not bad").drop("bad"), radius, stop_s, gap_s)
+    ping = F.struct("t", "id", "x", "y")
+    inner = F.when(~F.coalesce("begins", F.lit(True)), F.col("step"))
+    pieces = rows.groupBy("id_veh", "block", "piece").agg(
+        F.min(ping).alias("head"), F.max(ping).alias("tail"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(inner), F.lit(0.0)).alias("dist"), F.coalesce(F.max(F.when(inner.isNotNull(), F.col("speed"))), F.lit(0.0)).alias("top"),
+        F.max("stay").alias("stay"), F.max(F.col("stay") & F.col("first")).alias("first"), F.max(F.col("stay") & F.col("last")).alias("last"),
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.array_sort(F.collect_list(F.when(F.col("unsure"), ping))).alias("pings"),
+    )
+    order = W.partitionBy("id_veh").orderBy("head.t", "head.id")
+    step = F.hypot(F.col("head.x") - F.lag("tail.x").over(order), F.col("head.y") - F.lag("tail.y").over(order))
+    goes_on = F.coalesce(F.col("first") & F.lag("last").over(order) & (F.lag("block").over(order) < F.col("block")) & (step <= 2 * radius), F.lit(False))
+    pieces = pieces.withColumns({"step": step, "goes_on": goes_on, "speed": F.try_divide(step, (F.col("head.t") - F.lag("tail.t").over(order)) / 1e6)})
+    linked = lambda c: F.when(F.col(c), 0).otherwise(1)
+    pieces = pieces.withColumn("chain", F.sum(linked("goes_on")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    plus = lambda c: F.when(F.col(c), F.col("step")).otherwise(0.0)
+    fast = lambda c: F.when(F.col(c), F.col("speed"))
+    chains = pieces.groupBy("id_veh", "chain").agg(
+        F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n").alias("n"), F.sum(F.col("dist") + plus("goes_on")).alias("dist"), F.greatest(F.max("top"), F.max(fast("goes_on"))).alias("top"),
+        (F.max("stay") & (F.max("tail.t") - F.min("head.t") >= F.lit(int(stop_s * 1e6)))).alias("stay"), (F.hypot(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")) > 2 * radius).alias("wide"), F.flatten(F.array_sort(F.collect_list("pings"))).alias("pings"),
+    )
+    kind = F.when(F.col("stay"), "stop").otherwise("trip")
+    parts = chains.select("id_veh", kind.alias("kind"), "head", "tail", "n", "dist", "top", F.when(F.col("stay") & F.col("wide"), F.col("pings")).alias("pings"))
+    parts = parts.mapInArrow(_resolve(radius, stop_s, gap_s), PIECE)
+    follows = (F.col("kind") == "trip") & (F.lag("kind").over(order) == "trip") & (F.col("head.t") - F.lag("tail.t").over(order) <= F.lit(int(gap_s * 1e6)))
+    parts = parts.withColumns({"step": step, "speed": F.try_divide(step, (F.col("head.t") - F.lag("tail.t").over(order)) / 1e6), "follows": F.coalesce(follows, F.lit(False))})
+    parts = parts.withColumn("run", F.sum(linked("follows")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    whole = parts.groupBy("id_veh", "run", "kind").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n").alias("n_pings"), F.sum(F.col("dist") + plus("follows")).alias("distance_m"), F.greatest(F.max("top"), F.max(fast("follows"))).alias("top"))
     whole = whole.where((F.col("kind") == "stop") | (F.col("n_pings") >= least_pings))
-    return whole.select("kind", "id_veh", "id_fcd_first", "id_fcd_last", F.timestamp_micros("a").alias("ts_first"), F.timestamp_micros("z").alias("ts_last"), ((F.col("z") - F.col("a")) / 1e6).alias("duration_s"), "distance_m", "n_pings")
+    moment = lambda c: F.timestamp_micros(F.col(f"{c}.t"))
+    return whole.select("kind", "id_veh", F.col("head.id").alias("id_fcd_first"), F.col("tail.id").alias("id_fcd_last"), moment("head").alias("ts_first"), moment("tail").alias("ts_last"), ((F.col("tail.t") - F.col("head.t")) / 1e6).alias("duration_s"), "distance_m", "n_pings", (F.col("top") * 3.6).alias("top_kmh"))

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    one = first_delivery(table(spark, folder, "fcd"), number_id(F.col("id_fcd")), ["received_at", "batch"], ["ts"], "id_fcd")
+    one = first_delivery(table(spark, folder, "fcd"), number_id(F.col("id_fcd")), ["received_at"], ["ts"], "id_fcd")
     return one.where("n_deliveries > 1").select("id_fcd")
 
 

@@ -409,8 +409,9 @@ def segment_congestion_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
-    f = table(s, d, "fcd").groupBy(F.expr("try_cast(try_cast(trim(id_fcd) as decimal(38,6)) as bigint)").alias("id")).agg(F.max(F.col("heading").cast("double")).alias("heading"), F.max(F.col("speed").cast("double")).alias("speed"))
-    return first_pings(table(s, d, "fcd")).join(f, "id").where("heading is not null")
+    """Pings with a heading, which and whose speed are those of the first-received copy."""
+    f = table(s, d, "fcd").withColumns({c: F.col(c).cast("double") for c in ("heading", "speed")})
+    return first_pings(f, ("heading", "speed")).where("heading is not null")
 
 
 @query(f"""WITH {_LINE}, {_PINGS.replace("c AS (", "c AS (", 1)}, e AS (SELECT id, x, y FROM p WHERE engine = 2),

@@ -7,7 +7,7 @@ import pytest
 from roadloom.operators.fcd_trips import Rules, build_trips, cut_trips
 from roadloom.operators.sequences import DAY_US
 from roadloom.operators.spikes import AREA, flagged_pings, implausible_readings, impossible_places, p4_found
-from roadloom.operators.trips import fits, first_cut, stops, stops_and_trips
+from roadloom.operators.trips import fits, islands, stops, stops_and_trips
 
 FCD = "id_fcd string, id_veh string, ts timestamp_ntz, engine tinyint, x double, y double, geometry string, batch bigint, received_at timestamp_ntz, progr float, bad string"
 T0 = datetime(2024, 1, 1, 22)
@@ -123,8 +123,67 @@ def test_smallest_circle():
     tri = 60 * np.cos(np.radians([90, 210, 330])), 60 * np.sin(np.radians([90, 210, 330]))
     assert fits(*tri, 60.0001) and not fits(*tri, 59.99)
     assert stops(np.array([0.0]), np.array([0.0]), np.array([0.0]), 60, 600) == []
-    t = np.arange(0, 3000, 30.0)
-    assert first_cut(t, t * 10, t * 0, 60, 600) < 5 and first_cut(t, t * 0, t * 0, 60, 600) == len(t)
+
+
+def brute_stops_and_trips(track):
+    """The stated rules on one vehicle's pings (seconds, x, y), islands cut at steps over 120 m, longest stop first found."""
+    t, x, y = (np.array(c, float) for c in zip(*track))
+    n, stop_of, i = len(t), np.zeros(len(t), int), 0
+    holds = lambda a, b: fits(x[a:b], y[a:b], 60.0)
+    runs = [(t[b - 1] - t[a], a, b) for a in range(n) for b in range(a + 1, n + 1) if t[b - 1] - t[a] >= 600 and holds(a, b)]
+    out = []
+    while True:
+        free = [r for r in runs if r[1] >= i]
+        if not free:
+            break
+        first = min(free, key=lambda r: r[1])  # of the stops that overlap, chained, with the first: the longest
+        best, end = max((r for r in free if r[1] == first[1]), key=lambda r: r[2]), 0
+        while end != best[2]:
+            end = best[2]
+            best = max([best] + [r for r in free if first[1] <= r[1] < end], key=lambda r: (r[0], -r[1]))
+            if best[2] != end:
+                continue
+        out.append(("stop", best[1], best[2]))
+        stop_of[best[1] : best[2]] = len(out)
+        i = best[2]
+    new = [k for k in range(n) if k == 0 or stop_of[k] != stop_of[k - 1] or (not stop_of[k] and t[k] - t[k - 1] > 900)]
+    for a, b in zip(new, [*new[1:], n]):
+        if not stop_of[a] and b - a >= 5:
+            out.append(("trip", a, b))
+    return sorted(out)
+
+
+def test_stops_and_trips_against_the_rules(spark):
+    """Vehicles that drive, creep, stand with noise and fall silent, over midnight: clear stays, whose box a circle
+    holds, and unclear ones, blocks of an hour and of a day."""
+    rng = random.Random(3)
+    tracks = {}
+    for v in range(12):
+        s, x, y, track = 0, X, Y, []
+        while len(track) < 90:
+            mode = rng.choice(["drive", "stand", "creep", "shift", "silence"])
+            for _ in range(rng.randrange(1, 14)):
+                s += 1000 if mode == "silence" and rng.random() < 0.3 else rng.choice([45, 60, 90])
+                x += {"drive": 300, "creep": 25, "shift": rng.choice([0, 0, 0, 70])}.get(mode, 0)
+                track.append((s, x + rng.uniform(-6, 6), y + rng.uniform(-6, 6)))
+        tracks[f"v{v}"] = track
+    want, base = [], 0
+    for v, track in tracks.items():
+        want += [(k, v, base + a + 1, base + b) for k, a, b in brute_stops_and_trips(track)]
+        base += len(track)
+    for block_us in (DAY_US, 3600 * 1_000_000):
+        got = sorted((r.kind, r.id_veh, r.id_fcd_first, r.id_fcd_last) for r in stops_and_trips(pings(spark, tracks), block_us=block_us).collect())
+        assert got == sorted(want) and {k for k, *_ in got} == {"stop", "trip"}
+
+
+def test_islands_of_the_windows(spark):
+    """A short stay is merged into the move around it, a long one is a piece; wide ones and the block's edges are unsure."""
+    track = [(30 * i, X + 300 * i, Y) for i in range(5)] + [(150 + 60 * i, X + 1500 + 5 * (i % 2), Y) for i in range(3)] + [(330 + 30 * i, X + 1900 + 300 * i, Y) for i in range(4)]
+    track += [(480 + 100 * i, X + 4000 + 10 * (i % 2), Y) for i in range(9)] + [(1400 + 30 * i, X + 4300 + 300 * i, Y) for i in range(3)]
+    rows = flagged_pings(pings(spark, {"v": track}), block_us=2 * DAY_US).where("not bad").drop("bad")
+    got = [(r.id, r.piece, r.stay, r.unsure) for r in islands(rows, 60.0, 600.0, 900.0).orderBy("t").collect()]
+    assert [g[1] for g in got] == [1] + [2] * 11 + [3] * 9 + [4] * 2 + [5]
+    assert [g[0] for g in got if g[2]] == [1, *range(13, 22), 24] and [g[0] for g in got if g[3]] == [1, 24]
 
 
 def test_p4_found_columns(spark):
