@@ -78,11 +78,9 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Call
 
 
 def with_halo(df: DataFrame, t: str, block_us: int, halo_us: int) -> DataFrame:
-    """Adds `block` (of time t in µs) and `core`; a row within halo_us of another block also comes in that one,
-    with core false."""
+    """Adds `block` (of time t in µs); a row within halo_us of another block also comes in that one."""
     at = lambda d: F.floor((F.col(t) + F.lit(d)) / F.lit(block_us)).cast("int")
-    both = F.array_distinct(F.array(at(0), at(-halo_us), at(halo_us)))
-    return df.withColumn("block", F.explode(both)).withColumn("core", F.col("block") == at(0))
+    return df.withColumn("block", F.explode(F.array_distinct(F.array(at(0), at(-halo_us), at(halo_us)))))
 
 
 def natural_groups(rows: DataFrame, entity: str, block: str = "block", head: str = "head") -> DataFrame:

@@ -261,7 +261,7 @@ def p3_found(fcd: DataFrame, trips: DataFrame, zones: DataFrame, radius: float =
     """(kind, id_1, id_2) as TESTDATA.md states it; only engine 0 of the first-received copy is a switch-on."""
     on = written(first_pings(fcd).where("engine = 0"), "switched-on")
     near = near_pairs(on.select(F.to_date("ts").alias("grp"), "id", F.col("id_veh").alias("entity"), "x", "y"), radius)
-    trip = first_delivery(trips, F.col("id_trip"), ["loaded_at"], ["id_zone_o", "id_zone_d", "geometry"], "id_trip")
+    trip = first_delivery(trips, F.col("id_trip"), "loaded_at", ["id_zone_o", "id_zone_d", "geometry"], "id_trip")
     (ox, oy), (dx, dy) = (line_end(F.trim("geometry"), last) for last in (False, True))
     ends = trip.select("id_trip", F.explode(F.array(*[F.struct(F.lit(k).alias("tag"), x.alias("x"), y.alias("y")) for k, x, y in (("trip_o", ox, oy), ("trip_d", dx, dy))])).alias("e")).select("e.tag", F.col("id_trip").alias("qid"), "e.x", "e.y")
     points = on.select(F.lit("ping_zone").alias("tag"), F.col("id").alias("qid"), "x", "y").unionByName(ends)

@@ -76,7 +76,7 @@ def flagged_pings(fcd: DataFrame, area: tuple = AREA, max_kmh: float = MAX_KMH,
     def kernel(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         t, x, y = (tab[c].to_numpy() for c in ("t", "x", "y"))
         bad = impossible_places(t, x, y, starts, area, max_kmh)
-        return tab.select(["id_veh", "block", "id", "t", "x", "y"]).append_column("bad", pa.array(bad)).filter(tab["core"])
+        return tab.select(["id_veh", "block", "id", "t", "x", "y"]).append_column("bad", pa.array(bad)).filter(pa.array(t // block_us == tab["block"].to_numpy()))  # without the halo
 
     return per_group(with_halo(rows, "t", block_us, halo_us(area, max_kmh)), ["id_veh", "block"], ["t", "id"], kernel, "id_veh string, block int, id bigint, t bigint, x double, y double, bad boolean")
 
@@ -135,7 +135,7 @@ def flagged_readings(df: DataFrame, low: float = 0.0, high: float = 250.0, stuck
     is one link; as its repeated rows are gone, it has one row a slot of time, so its size is bounded by the calendar
     (35,040 a year) whatever share of the delivered rows it holds.
     """
-    rows = first_delivery(df, F.col("id_res"), ["published_at"], ["id_link", "slot_ts", "avg_speed"], "id_res")
+    rows = first_delivery(df, F.col("id_res"), "published_at", ["id_link", "slot_ts", "avg_speed"], "id_res")
     rows = rows.where("avg_speed is not null and not isnan(avg_speed) and id_link is not null and slot_ts is not null")
     rows = rows.select("id_link", "id_res", micros(F.col("slot_ts")).alias("t"), "avg_speed")
 

@@ -125,8 +125,9 @@ PIECE = "id_veh string, kind string, head struct<t:bigint,id:bigint,x:double,y:d
 
 
 def islands(rows: DataFrame, radius: float, stop_s: float, gap_s: float) -> DataFrame:
-    """Pings (id_veh, block, id, t, x, y) with the number of their `piece` in the block, `step`, `speed`, and whether
-    the piece is a `stay` (else a move), lies at the `first` or `last` edge of the block, and is `unsure`.
+    """Pings (id_veh, block, id, t, x, y) with `step`, `speed`, and whether each lies in a `stay` (else in a move), at the
+    `first` or `last` edge of its block, and in an `unsure` stay. A piece is what agrees in `stay`, the number of stays
+    begun before it (`nth`) and that of silences in moves (`silences`).
 
     Hysteresis: a stay ends with one step over 2 * radius, as no place has both ends within radius; a moving vehicle
     stays again only after stop_s without such a step. Stays shorter than that are merged into the move around them,
@@ -136,22 +137,19 @@ def islands(rows: DataFrame, radius: float, stop_s: float, gap_s: float) -> Data
     day = ["id_veh", "block"]
     by_time = W.partitionBy(*day).orderBy("t", "id")
     back = lambda c: F.col(c) - F.lag(c).over(by_time)
-    rows = rows.withColumns({"step": F.hypot(back("x"), back("y")), "dt": back("t") / 1e6})
+    rows = rows.withColumns({"step": F.hypot(back("x"), back("y")), "dt": back("t") / 1e6, "ends": F.lead("t").over(by_time).isNull()})
     rows = rows.withColumns({"speed": F.try_divide("step", "dt"), "leaves": F.coalesce(F.col("step") > 2 * radius, F.lit(True))})
-    rows = rows.withColumn("island", F.sum(F.col("leaves").cast("int")).over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    # islands follow each other in time, so one more sort of the same partitions serves all that follows
+    so_far = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("island", F.sum(F.col("leaves").cast("int")).over(so_far(by_time)))
+    # islands follow each other in time, so one more sort of the same partitions serves what follows
     whole = W.partitionBy(*day, "island").orderBy("t", "id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     span = lambda c: F.max(c).over(whole) - F.min(c).over(whole)
-    rows = rows.withColumns({"lasts": span("t"), "wide": span("x"), "high": span("y")})
-    ordered = W.partitionBy(*day).orderBy("island", "t", "id")
-    every = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumns({"first": F.col("island") == 1, "last": F.col("island") == F.max("island").over(every)})
+    rows = rows.withColumns({"lasts": span("t"), "wide": F.hypot(span("x"), span("y")), "first": F.col("island") == 1, "last": F.max("ends").over(whole)})
     edge = F.col("first") | F.col("last")
     rows = rows.withColumn("stay", edge | (F.col("lasts") >= F.lit(int(stop_s * 1e6))))
-    rows = rows.withColumn("unsure", edge | F.col("stay") & (F.hypot("wide", "high") > 2 * radius))
-    turn = F.col("leaves") & (F.col("stay") | F.coalesce(F.lag("stay").over(ordered), F.lit(True)))
-    rows = rows.withColumn("begins", turn | ~F.col("stay") & (F.col("dt") > gap_s))
-    return rows.withColumn("piece", F.sum(F.coalesce("begins", F.lit(True)).cast("int")).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("unsure", edge | F.col("stay") & (F.col("wide") > 2 * radius))
+    count = lambda c: F.sum(c.cast("int")).over(so_far(W.partitionBy(*day).orderBy("island", "t", "id")))
+    return rows.withColumns({"nth": count(F.col("leaves") & F.col("stay")), "silences": count(~F.col("stay") & F.coalesce(F.col("dt") > gap_s, F.lit(False)))})
 
 
 def _resolve(radius: float, stop_s: float, gap_s: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -193,16 +191,18 @@ def stops_and_trips(fcd: DataFrame, radius: float = 60.0, stop_s: float = 600.0,
     A vehicle's sequence is cut into blocks of time, so a hot vehicle is spread over tasks; from there on a piece is one
     row: a move, or a stay, which keeps its pings only while it is unsure or lies at its block's edge. Pieces are joined
     over the edges, stays that are still unsure are searched, and moves that follow each other within gap_s are trips.
+    The top speed is that of the steps to the run's pings, for a trip also of the one out of the stop before it.
     Equal times are in order of id; rows without id, vehicle, time or place are left aside; an empty table gives no rows.
     """
     rows = islands(flagged_pings(fcd, area, max_kmh, block_us).where("not bad").drop("bad"), radius, stop_s, gap_s)
     ping = F.struct("t", "id", "x", "y")
-    inner = F.when(~F.coalesce("begins", F.lit(True)), F.col("step"))
-    pieces = rows.groupBy("id_veh", "block", "piece").agg(
-        F.min(ping).alias("head"), F.max(ping).alias("tail"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(inner), F.lit(0.0)).alias("dist"), F.coalesce(F.max(F.when(inner.isNotNull(), F.col("speed"))), F.lit(0.0)).alias("top"),
-        F.max("stay").alias("stay"), F.max(F.col("stay") & F.col("first")).alias("first"), F.max(F.col("stay") & F.col("last")).alias("last"),
+    within = F.when(~F.col("leaves") | ~F.col("stay") & (F.col("dt") <= gap_s), F.col("speed"))
+    pieces = rows.groupBy("id_veh", "block", "nth", "silences", "stay").agg(
+        F.min(F.struct("t", "id", "x", "y", "step")).alias("head"), F.max(ping).alias("tail"), F.count(F.lit(1)).alias("n"), F.sum("step").alias("dist"), F.coalesce(F.max(within), F.lit(0.0)).alias("top"),
+        F.max(F.col("stay") & F.col("first")).alias("first"), F.max(F.col("stay") & F.col("last")).alias("last"),
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.array_sort(F.collect_list(F.when(F.col("unsure"), ping))).alias("pings"),
     )
+    pieces = pieces.withColumns({"dist": F.coalesce(F.col("dist") - F.coalesce("head.step", F.lit(0.0)), F.lit(0.0)), "head": F.struct(*[F.col(f"head.{c}").alias(c) for c in ("t", "id", "x", "y")])})
     order = W.partitionBy("id_veh").orderBy("head.t", "head.id")
     step = F.hypot(F.col("head.x") - F.lag("tail.x").over(order), F.col("head.y") - F.lag("tail.y").over(order))
     goes_on = F.coalesce(F.col("first") & F.lag("last").over(order) & (F.lag("block").over(order) < F.col("block")) & (step <= 2 * radius), F.lit(False))

@@ -24,12 +24,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    one = first_delivery(table(spark, folder, "fcd"), number_id(F.col("id_fcd")), ["received_at"], ["ts"], "id_fcd")
+    one = first_delivery(table(spark, folder, "fcd"), number_id(F.col("id_fcd")), "received_at", ["ts"], "id_fcd")
     return one.where("n_deliveries > 1").select("id_fcd")
 
 
 def p5_first_copies(spark: SparkSession, folder: str) -> DataFrame:
-    return first_delivery(table(spark, folder, "fcd"), number_id(F.col("id_fcd")), ["received_at"], ["ts", "received_at"], "id_fcd")
+    return first_delivery(table(spark, folder, "fcd"), number_id(F.col("id_fcd")), "received_at", ["ts", "received_at"], "id_fcd")
 
 
 QUERIES: dict[str, Query] = {

@@ -15,9 +15,9 @@ def at(m):
 def test_first_copy_nulls_and_ties(spark):
     rows = [("1", 5, "b"), (" 1", 2, "a"), ("1.0", None, "c"), (None, 1, "x"), ("2", None, "z"), ("3", 1, "p"), ("3", 1, "q"), ("word", 1, "w")]
     df = spark.createDataFrame([(k, at(m), v) for k, m, v in rows], "key string, rec timestamp, v string").withColumn("n_deliveries", F.lit(0))
-    got = {r.id: (r.v, r.n_deliveries) for r in first_delivery(df, number_id(F.col("key")), ["rec"], ["v"], "id").collect()}
+    got = {r.id: (r.v, r.n_deliveries) for r in first_delivery(df, number_id(F.col("key")), "rec", ["v"], "id").collect()}
     assert got[1] == ("a", 3) and got[2] == ("z", 1) and got[3][1] == 2 and set(got) == {1, 2, 3}
-    again = {r.id: (r.v, r.n_deliveries) for r in first_delivery(df.orderBy(F.desc("v")).repartition(3), number_id(F.col("key")), ["rec"], ["v"], "id").collect()}
+    again = {r.id: (r.v, r.n_deliveries) for r in first_delivery(df.orderBy(F.desc("v")).repartition(3), number_id(F.col("key")), "rec", ["v"], "id").collect()}
     assert got == again
 
 

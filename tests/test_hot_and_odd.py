@@ -20,9 +20,9 @@ FCD = "id_fcd string, id_veh string, ts timestamp_ntz, engine tinyint, x double,
 def test_a_key_with_a_third_of_all_rows(spark):
     n = 6000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("k"), F.timestamp_seconds(F.col("id")).alias("rec"), F.col("id").alias("v"))
-    got = first_delivery(df, F.col("k"), ["rec"], ["v"], "k").where("n_deliveries > 1").collect()
+    got = first_delivery(df, F.col("k"), "rec", ["v"], "k").where("n_deliveries > 1").collect()
     assert [(r.k, r.v, r.n_deliveries) for r in got] == [(7, 0, n // 3)]
-    plan = first_delivery(df, F.col("k"), ["rec"], ["v"], "k")._jdf.queryExecution().executedPlan().toString()
+    plan = first_delivery(df, F.col("k"), "rec", ["v"], "k")._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan
 
 
