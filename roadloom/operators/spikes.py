@@ -90,14 +90,30 @@ def _rolling(v: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
     return med, np.median(np.abs(windows[at] - med[:, None]), axis=1)
 
 
+def hampel_frames(v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A Hampel filter for groups of `size` consecutive readings, rolled over v: the frame of a group is the group and
+    the readings before and after it, these weighing as much as the group each.
+
+    Per frame (group from reading 1, 2, ...): the weighted median, the weighted median absolute deviation from it, and
+    the score, the group's largest deviation in units of 1.4826 * MAD. So weighted, neither the group nor one odd
+    neighbour is the median: of a group beyond both its neighbours it is the nearer of them.
+    """
+    wide = np.lib.stride_tricks.sliding_window_view(v, size + 2)[:, [*[0] * size, *range(1, size + 1), *[size + 1] * size]]
+    med = np.median(wide, axis=1)
+    dev = np.abs(wide - med[:, None])
+    mad = np.median(dev, axis=1)
+    return med, mad, dev[:, size : 2 * size].max(axis=1) / np.maximum(1.4826 * mad, 1e-9)
+
+
 def implausible_readings(v: np.ndarray, low: float, high: float, stuck: int, share: float, longest: int, half: int) -> tuple[np.ndarray, ...]:
     """Kinds of case ('' for none) of one source's readings in order, with rolling median, MAD and Hampel score.
 
-    Bounds, then runs of at least `stuck` equal readings, then spikes. A spike is a Hampel outlier of a frame of its
-    group of up to `longest` readings and the two readings around it, those weighing as much as the group, so that the
-    frame's weighted median is the nearer of the two; the deviation is measured against `share` of the source's median,
-    as the MAD of a smooth source would make noise a case. Neither neighbour may be a case: larger groups come first,
-    then those further from the rolling median, and one that conflicts with an accepted group is left.
+    Bounds, then runs of at least `stuck` equal readings, then spikes. Candidates for spikes are the groups of up to
+    `longest` readings that the Hampel filter of their frame finds: a score of at least one MAD. That loses no group
+    beyond both neighbours, whose largest deviation is never below the MAD. Of the candidates remain those whose every
+    reading lies beyond the frame's median, all on one side, by more than `share` of the source's median (the MAD of a
+    smooth source would make noise a case). Neither neighbour may be a case: larger groups come first, then those
+    further from the median of the wider rolling window, and one that conflicts with an accepted group is left.
     """
     n = len(v)
     kind = np.full(n, "", object)
@@ -113,11 +129,11 @@ def implausible_readings(v: np.ndarray, low: float, high: float, stuck: int, sha
     for size in range(1, longest + 1):
         if n < size + 2:
             break
-        inner = np.lib.stride_tricks.sliding_window_view(v, size)[1 : n - size]
-        a, b = v[: n - size - 1], v[size + 1 :]
-        gap = np.maximum(inner.min(axis=1) - np.maximum(a, b), np.minimum(a, b) - inner.max(axis=1))
-        ok = (gap > band) & ~base[: n - size - 1] & ~base[size + 1 :]
-        found += [(float(np.abs(v[i + 1 : i + 1 + size] - med[i + 1 : i + 1 + size]).min()), int(i) + 1, size) for i in np.flatnonzero(ok)]
+        centre, _, outlying = hampel_frames(v, size)
+        at = np.flatnonzero((outlying >= 1 / 1.4826 - 1e-9) & ~base[: n - size - 1] & ~base[size + 1 :]) + 1
+        beyond = v[at[:, None] + np.arange(size)] - centre[at - 1, None]
+        at = at[(beyond > band).all(axis=1) | (beyond < -band).all(axis=1)]
+        found += [(float(np.abs(v[i : i + size] - med[i : i + size]).min()), int(i), size) for i in at]
     case, neighbour = base.copy(), np.zeros(n, bool)
     for _, i, size in sorted(found, key=lambda f: (-f[2], -f[0], f[1])):
         if case[i - 1] or case[i + size] or neighbour[i : i + size].any():

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from roadloom.operators import spikes
 from roadloom.operators.fcd_trips import Rules, build_trips, cut_trips
 from roadloom.operators.sequences import DAY_US
 from roadloom.operators.spikes import AREA, flagged_pings, implausible_readings, impossible_places, p4_found
@@ -43,6 +44,27 @@ def test_readings():
     assert reading([50, 80, -1, 50]) == ["", "", "bounds", ""]  # a neighbour that is a case itself speaks for nothing
 
 
+def test_the_filter_decides_which_groups_are_candidates(monkeypatch):
+    """The stated rule is the refinement of the Hampel filter's candidates: none is lost, and without the filter's
+    median, MAD and score nothing is found."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        v = rng.choice([50.0, 52.0, 55.0, 70.0, 90.0, 120.0, 20.0], size=rng.integers(3, 30))
+        n, band = len(v), 0.3 * np.median(v)
+        for size in (1, 2, 3):
+            stated = [i for i in range(1, n - size) if min(v[i : i + size]) - max(v[i - 1], v[i + size]) > band or min(v[i - 1], v[i + size]) - max(v[i : i + size]) > band]
+            if n < size + 2:
+                continue
+            med, mad, score = spikes.hampel_frames(v, size)
+            for i in stated:
+                assert score[i - 1] >= 1 / 1.4826 - 1e-9 and med[i - 1] in (v[i - 1], v[i + size])
+    frames = spikes.hampel_frames
+    spike = [50, 51, 90, 50, 52, 51]
+    for broken in (lambda v, k: (*frames(v, k)[:2], frames(v, k)[2] * 0), lambda v, k: (v[1 : len(v) - k], *frames(v, k)[1:])):
+        monkeypatch.setattr(spikes, "hampel_frames", broken)
+        assert reading(spike) == [""] * 6
+
+
 def naive_impossible(t, x, y):
     limit, out = 250 / 3.6, set()
     ok = [i for i in range(len(t)) if AREA[0] <= x[i] <= AREA[1] and AREA[2] <= y[i] <= AREA[3]]
