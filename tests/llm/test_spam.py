@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from roadloom.llm.spam import autocorrelation, judge, mended, recurrences, spam, spam_scores
+from roadloom.llm import spam as module
+from roadloom.llm.spam import autocorrelation, count_words, judge, learned, mended, model_of, recurrences, regularity, spam, spam_scores
 
 
 def cues(lines):
@@ -15,6 +16,26 @@ KEYS = ["yoga mat", "yoga mat best price", "leather wallet", "used tyres", "used
 LINKS = [f"{p}{w}.example/{k}" for k, (p, w) in enumerate([("www.", "lopel"), ("https://www.", "mika"), ("", "tujor"), ("http://", "zanlo"), ("www.", "gorlan"), ("", "quimi")])]
 
 
+#: A small corpus: dialogue in four languages, and a few pages of keywords among it.
+OTHER = {
+    "ja": ["もう行こう。", "あの子は橋の近くで赤いノートを壊した。", "船長は嵐の前に手紙を隠した。", "あの人は橋の前で手紙を売った。"],
+    "ru": ["Садовник забыл письмо под лестницей.", "Это не смешно.", "Кто там и что ты искал?", "Он не украл мёд, а она забыла ключи."],
+    "de": ["Das ist nicht lustig.", "Die Schwester suchte die Schlüssel der Mühle.", "Er hat den Brief auf dem Boden vergessen.", "Wer ist das und was will er?"],
+}
+KEYS_OF = {"en": KEYS, "ja": ["香水 激安", "中古タイヤ 送料無料", "財布"], "ru": ["духи скидка", "шины дёшево", "духи скидка купить"], "de": ["Handyhülle in der Nähe", "Laufschuhe in der Nähe"]}
+TALKS = {"en": TALK + ["two wet dogs, a bag of walnuts, a letter without a stamp, the red notebook.", "He forgot the keys under the stairs of the mill.", "Did you hide a letter for my aunt?"], **OTHER}
+
+
+def corpus():
+    for lang, talk in TALKS.items():
+        for k in range(100):
+            yield lang, cues(RNG.sample(talk, 3) if k % 20 else [RNG.choice(KEYS_OF[lang]) for _ in range(9)] + KEYS_OF[lang])
+
+
+CORPUS = list(corpus())
+MODEL = model_of((*k, *v) for k, v in count_words([t for _, t in CORPUS], [lang for lang, _ in CORPUS]).items())
+
+
 @pytest.mark.parametrize(
     "lines",
     [
@@ -25,7 +46,7 @@ LINKS = [f"{p}{w}.example/{k}" for k, (p, w) in enumerate([("www.", "lopel"), ("
     ],
 )
 def test_spam(lines):
-    assert judge(cues(lines)).share > 0.5
+    assert judge(cues(lines), MODEL).share > 0.5
 
 
 @pytest.mark.parametrize(
@@ -36,7 +57,7 @@ def test_spam(lines):
     ],
 )
 def test_no_spam(lines):
-    assert judge(cues(lines)).share <= 0.5
+    assert judge(cues(lines), MODEL).share <= 0.5
 
 
 def test_corners(spark):
@@ -49,7 +70,7 @@ def test_corners(spark):
 
 def test_recurrence_and_regularity():
     assert recurrences(["a", "b", "a", "c"]).tolist() == [2, 5, 2, 5]
-    assert autocorrelation(["gold", "watch"] * 20) > 0.95 and autocorrelation([str(i) for i in range(50)]) == 0.0 and autocorrelation([]) == 0.0
+    assert autocorrelation(["gold", "watch"] * 20) >= 0.5 and autocorrelation([str(i) for i in range(50)]) == 0.0 and autocorrelation([]) == 0.0
 
 
 def test_mended():
@@ -57,3 +78,61 @@ def test_mended():
         wrong = text.encode().decode("cp1252", "replace")
         assert "�" in wrong or mended(wrong) == text
         assert mended(text) == text
+
+
+POLISH = """Gdzie byłeś wczoraj wieczorem
+Czekałam na ciebie do północy
+Nie mogłem przyjść bo zepsuł mi się samochód
+Zawsze masz jakąś wymówkę
+Przysięgam że mówię prawdę
+Matka dzwoniła trzy razy
+Co jej powiedziałaś
+Że pojechałeś do brata
+Dobrze zrobiłaś dziękuję
+Następnym razem sam się tłumacz
+Chcesz kawy czy herbaty
+Poproszę herbatę z cytryną
+W kuchni nie ma już cukru
+Pójdę do sklepu jak przestanie padać
+Weź parasol z przedpokoju
+Ten niebieski jest złamany
+To kup nowy po drodze
+A pies musi wyjść przed nocą
+Twoja kolej mój drogi
+Wrócę za pół godziny""".splitlines()
+
+
+def test_strange_languages_full_stops_and_long_periods():
+    """A language the corpus lacks: dialogue without full stops and a refrain are no spam, keywords are."""
+    for model in (None, MODEL):
+        assert judge(cues(POLISH), model).share <= 0.5
+        assert judge(cues(["Wlazł kotek na płotek i mruga", "Ładna to piosenka niedługa"] * 20), model).share <= 0.5
+        strange = ["tanie buty", "tanie buty sklep", "buty damskie", "buty damskie tanie", "tanie torebki", "torebki sklep", "torebki damskie", "torebki damskie tanie", "sklep buty damskie"]
+        assert judge(cues([" | ".join(RNG.sample(strange, 4)) for _ in range(12)]), model).share > 0.5
+    assert judge(cues([f"{RNG.choice(KEYS)}." for _ in range(40)]), MODEL).share > 0.5  # lines that end like sentences
+    assert judge(cues(LINKS[:3] * 60)).share > 0.5  # three links in turn
+    assert judge(cues(LINKS[:1] * 200)).share <= 0.5  # one advert, however often repeated
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    assert autocorrelation(words * 3) > 0.6  # a period of 100
+
+
+def test_each_part_of_the_method_decides(monkeypatch):
+    strange = cues([" | ".join(RNG.sample(["tanie buty", "tanie buty sklep", "buty damskie", "torebki sklep", "torebki damskie"], 3)) for _ in range(12)])
+    nouns = cues(["香水 激安", "中古タイヤ 送料無料", "財布"] * 8)
+    assert judge(strange, MODEL).share > 0.5 and judge(nouns, MODEL).share > 0.5
+    monkeypatch.setattr(module, "regularity", lambda lines: 0.0)
+    assert judge(strange, MODEL).share == 0 and judge(nouns, MODEL).share > 0.5  # known nouns without function words
+    assert judge(nouns).share == 0
+
+
+def test_regularity_counts_a_refrain_once():
+    line = "come home the lamps are lit".split()
+    assert regularity([line] * 30) < 0.35 and regularity([["yoga", "mat"], ["yoga", "mat", "price"], ["cheap", "yoga", "mat"], ["yoga", "mat", "sale"]]) > 0.35 and regularity([]) == 0.0
+
+
+def test_words_are_learned_over_the_whole_corpus(spark):
+    df = spark.createDataFrame([(lang.upper() + "-x", t) for lang, t in CORPUS] + [(None, "unlabelled"), ("en", None), ("??", "x")], "lang string, text string").repartition(5)
+    got = learned(df)
+    assert got.common == MODEL.common and got.known == MODEL.known and got.usual == pytest.approx(MODEL.usual)
+    assert {"the", "you"} <= got.common["en"] and "не" in got.common["ru"] and "yoga" not in got.common["en"] and "yoga" in got.known
+    assert learned(df.limit(0)).common == {} and learned(df.drop("lang"), lang=None).common.keys() == {"all"}
