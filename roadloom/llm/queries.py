@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:
-    return spread(table(s, d, "documents").select("doc_id", "text"))
+    return spread(table(s, d, "documents").select("doc_id", "text", "lang"))
 
 
 QUERIES: dict[str, Query] = {

@@ -13,7 +13,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from math import exp
 from typing import NamedTuple
@@ -47,15 +47,20 @@ _DOT = r"(?:\s?\[\.\]\s?|\s?\(\.\)\s?|\s\.\s|\.|\s+dot\s+)"
 _LINK = re.compile(rf"<a\s[^>]*>|https?://\S+(?:{_DOT}[\w-]+)*(?:/\S*)?|\bwww{_DOT}[\w-]+(?:{_DOT}[\w-]+)*(?:/[\w/.-]*)?|\b[^\W_][\w-]+(?:{_DOT}[\w-]+)*?{_DOT}[a-z]{{2,}}\b(?:/[\w/.-]*)?", re.I)
 _TAG = re.compile(r"#\w[\w-]*|\b[^\W_]+(?:[-_][^\W_]+)+\b")
 _UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
-_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+|(?:\d+(?=[^\W\d_]))?[^\W\d_\u3040-\u30ff\u3400-\u9fff]+[^\W_\u3040-\u30ff\u3400-\u9fff]*(?:['’][^\W_]+)*")
+_WORD = re.compile(r"[^\W\d_]\w*(?:['’]\w+)*")
+_MIXED_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+|[^\W\d_\u3040-\u30ff\u3400-\u9fff][^\W\u3040-\u30ff\u3400-\u9fff]*(?:['’][^\W\u3040-\u30ff\u3400-\u9fff]+)*")
+#: Most cue numbers and times, in any text.
+_CUES = re.compile(r"(?m)^[\d:., ]*-->[\d:., ]*$|^\d+$")
 _ASIDE = re.compile(r"^[-–—\s]*(?:\[.*\]|\(.*\)|\*.*\*|♪.*|#\s.*|.*♪)$")
 #: A credit: a role and names.
 _CREDIT = re.compile(r"^[-–—\s]*[^\W\d][^:|]{1,40}:(?:\s+(?:[A-Z][\w.]*|[&,+]|and|e|et|y|und|и))+\s*$")
 _MIXED, _LETTERS, _LATIN = re.compile("[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]"), re.compile(r"[^\W\d_]+"), re.compile("[A-Za-z]")
 #: Cheap tests before the full patterns.
 _LINKLIKE, _TAGLIKE = re.compile(r"\.\w|\.[\])]|\s\.\s|\bdot\b|http|www|<a\s", re.I).search, re.compile(r"#\w|\w[-_]\w").search
+_BLANKS = (" ", "\t", "\xa0", "\u3000")
 _ENDS = ".?!…,\"'”»)] "
 _INVISIBLE = {c: None for c in (*range(0x200B, 0x2010), *range(0x2028, 0x202F), *range(0x2060, 0x2070), 0xAD, 0xFEFF)}
+_HIDDEN = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]").search
 #: Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("аеорсухіАВЕКМНОРСТХ", "aeopcyxiABEKMHOPCTX")
 
@@ -93,7 +98,8 @@ def _plain(line: str) -> str:
         line = _STYLE.sub("", line)
     if line.isascii():
         return line.strip()
-    line = unicodedata.normalize("NFKC", mended(line).translate(_INVISIBLE))
+    line = mended(line)
+    line = unicodedata.normalize("NFKC", line.translate(_INVISIBLE) if _HIDDEN(line) else line)
     if _MIXED.search(line):
         line = _LETTERS.sub(lambda m: m[0].translate(_ALIKE) if _LATIN.search(m[0]) else m[0], line)
     return line.strip()
@@ -101,9 +107,9 @@ def _plain(line: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """Lower-case words, numbers left out; writing without blanks between words gives its pairs of neighbouring signs."""
-    found = _WORD.findall(text.lower())
     if text.isascii() or not _UNSPACED.search(text):
-        return found
+        return _WORD.findall(text.lower())
+    found = _MIXED_WORD.findall(text.lower())
     out = []
     for w in found:
         out += ([w[i : i + 2] for i in range(len(w) - 1)] or [w]) if _UNSPACED.match(w) else [w]
@@ -243,7 +249,7 @@ class _Line(NamedTuple):
 
 
 #: Lines repeat over the documents of a corpus: the last ones read are kept.
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=50_000)
 def _read(raw: str) -> _Line | None:
     """What a line holds; None for cues, blank lines, and one character over and over, which is no text."""
     line = "" if _is_cue(raw) else _plain(raw)
@@ -258,7 +264,7 @@ def _read(raw: str) -> _Line | None:
     loose = words_of(_TAG.sub(" ", rest)) if tags else words  # "in-der-nähe" is one tag
     aside = not links and bool((line[0] in "[(*♪#-–— " or line[-1] == "♪") and _ASIDE.match(line) or ":" in line and _CREDIT.match(line))
     unread = not line.isascii() and line.count("\ufffd") + len(_MISREAD.findall(line)) > 2  # words lost in a wrong encoding are no keywords
-    return _Line(len("".join(line.split())), links, tags, words, loose, aside, unread)
+    return _Line(len(line) - sum(map(line.count, _BLANKS)), links, tags, words, loose, aside, unread)
 
 
 def _is_cue(raw: str) -> bool:
@@ -271,7 +277,7 @@ def judge(text: str | None, model: Model | None = None) -> Verdict:
     Without a model no language is known, and only regular repetition, links and tags count.
     """
     model = model or Model()
-    rows = [r for raw in (text or "").splitlines() if raw and not ("-->" in raw or raw.isdigit()) and (r := _read(raw)) or "-->" in raw and not _CUE.fullmatch(raw) and (r := _read(raw))]
+    rows = [r for raw in _CUES.sub("", text or "").splitlines() if raw and (r := _read(raw))]
     total = sum(r.size for r in rows)
     if not total:
         return Verdict(0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
@@ -316,8 +322,8 @@ def _label(lang: Column) -> Column:
 def learned(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> Model:
     """The model of a corpus: one pass over all documents, words counted per task before the shuffle.
 
-    Sent to the driver: at most 1 / LEAST_SHARE languages of WORDS words each. Without a column of labels all documents
-    are one language. A null text or label counts nothing; no language with enough documents gives an empty model.
+    Sent to the driver: at most 1 / LEAST_SHARE languages of WORDS words each. Without a column of labels the common
+    words are those of all documents and no word is known, as the corpus may be in several languages. A null text or label counts nothing; no language with enough documents gives an empty model.
     """
     label = _label(F.col(lang)) if lang else F.lit("all")
 
@@ -336,13 +342,14 @@ def learned(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> M
     rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("docs"), "word"))  # words that a share of documents has: few
     rows = wide.withColumn("rank", rank).where(F.col("rank") <= WORDS + 1).select("label", "word", "docs", "times").collect()
     discarded(counts)
-    return model_of(map(tuple, rows))
+    model = model_of(map(tuple, rows))
+    return model if lang else replace(model, known=frozenset())
 
 
 def spam_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str | None = "lang", model: Model | None = None) -> DataFrame:
     """(key, spam_share and its kinds, regularity, function_word_share) of each document, whole texts.
 
-    The model is learned from docs unless given (a table without the label column is one language). A null, empty or
+    The model is learned from docs unless given; without the label column only regular repetition makes keywords. A null, empty or
     blank text, or one of cue numbers and times only, has shares of 0.
     """
     model = model or learned(docs, text, lang if lang in docs.columns else None)
