@@ -34,6 +34,8 @@ WORDS = 5000
 #: Shares that decide: of a language's usual share of common words, below which a line has few, and lists have none; of
 #: recurring terms, in a known language and in a strange one; of known words, from which a text's language is known; of a text, from which it is spam.
 FEW, BARE, REGULAR, REGULAR_STRANGE, FAMILIAR, MOST = 0.5, 0.2, 0.35, 0.6, 0.5, 0.5
+#: Chance below which it is none that different words hold no common one.
+CHANCE = 0.001
 #: Terms apart at which a recurrence is close; terms of a line that is no verse.
 CLOSE, SHORT = 40, 3
 #: Length from which a line of one or two characters over and over is padding.
@@ -51,7 +53,8 @@ _WORD = re.compile(r"[^\W\d_]\w*(?:['’]\w+)*")
 _MIXED_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+|[^\W\d_\u3040-\u30ff\u3400-\u9fff][^\W\u3040-\u30ff\u3400-\u9fff]*(?:['’][^\W\u3040-\u30ff\u3400-\u9fff]+)*")
 #: Most cue numbers and times, in any text.
 _CUES = re.compile(r"(?m)^[\d:., ]*-->[\d:., ]*$|^\d+$")
-_ASIDE = re.compile(r"^[-–—\s]*(?:\[.*\]|\(.*\)|\*.*\*|♪.*|#\s.*|.*♪)$")
+#: Sounds and songs; of a note sign lost on the way a question mark is left.
+_ASIDE = re.compile(r"^[-–—\s]*(?:\[.*\]|\(.*\)|\*.*\*|♪.*|#\s.*|.*♪|\?\s.*\s\?)$")
 #: A credit: a role and names.
 _CREDIT = re.compile(r"^[-–—\s]*[^\W\d][^:|]{1,40}:(?:\s+(?:[A-Z][\w.]*|[&,+]|and|e|et|y|und|и))+\s*$")
 _MIXED, _LETTERS, _LATIN = re.compile("[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]"), re.compile(r"[^\W\d_]+"), re.compile("[A-Za-z]")
@@ -262,7 +265,7 @@ def _read(raw: str) -> _Line | None:
     tags = [t for t in _TAG.findall(rest) if any(c.isalpha() for c in t)] if ("#" in rest or "-" in rest or "_" in rest) and _TAGLIKE(rest) else []
     words = words_of(rest)
     loose = words_of(_TAG.sub(" ", rest)) if tags else words  # "in-der-nähe" is one tag
-    aside = not links and bool((line[0] in "[(*♪#-–— " or line[-1] == "♪") and _ASIDE.match(line) or ":" in line and _CREDIT.match(line))
+    aside = not links and bool((line[0] in "[(*♪#?-–— " or line[-1] == "♪") and _ASIDE.match(line) or ":" in line and _CREDIT.match(line))
     unread = not line.isascii() and line.count("\ufffd") + len(_MISREAD.findall(line)) > 2  # words lost in a wrong encoding are no keywords
     return _Line(len(line) - sum(map(line.count, _BLANKS)), links, tags, words, loose, aside, unread)
 
@@ -304,7 +307,8 @@ def judge(text: str | None, model: Model | None = None) -> Verdict:
         words = [w for r in lists for w in r.words]
         bare = sum(map(is_common, words)) <= BARE * model.usual.get(language, 1.0) * len(words)
         familiar = sum(map(model.known.__contains__, words)) >= FAMILIAR * len(words)
-        if familiar and bare or regular >= (REGULAR if familiar else REGULAR_STRANGE):
+        chance = (1 - model.usual.get(language, 0.5)) ** len(set(words))  # that so many different words of sentences aren't common
+        if familiar and bare and chance < CHANCE or regular >= (REGULAR if familiar else REGULAR_STRANGE):
             found["keywords"] += sum(r.size for r in lists)
     parts = [found[k] / total for k in ("links", "tags", "keywords")]
     return Verdict(sum(parts), *parts, regular, n_common / max(1, sum(len(r.loose) for r in rows)))
