@@ -305,9 +305,10 @@ def judge(text: str | None, model: Model | None = None) -> Verdict:
     if lists and 2 * (sum(found.values()) + sum(r.size for r in lists)) >= total:  # else no verdict hangs on them
         regular = regularity([r.words for r in lists])
         words = [w for r in lists for w in r.words]
-        bare = sum(map(is_common, words)) <= BARE * model.usual.get(language, 1.0) * len(words)
         familiar = sum(map(model.known.__contains__, words)) >= FAMILIAR * len(words)
-        chance = (1 - model.usual.get(language, 0.5)) ** len(set(words))  # that so many different words of sentences aren't common
+        usual = model.usual.get(language) or sum(model.usual.values()) / max(1, len(model.usual))
+        bare = sum(map(is_common, words)) <= BARE * usual * len(words)
+        chance = (1 - usual) ** len(set(words))  # that so many different words of sentences aren't common
         if familiar and bare and chance < CHANCE or regular >= (REGULAR if familiar else REGULAR_STRANGE):
             found["keywords"] += sum(r.size for r in lists)
     parts = [found[k] / total for k in ("links", "tags", "keywords")]
