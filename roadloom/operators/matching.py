@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,31 +22,54 @@ def on_segment() -> tuple[Column, Column]:
 def candidates(points: DataFrame, segs: DataFrame, reach: float, max_angle: float | None = None) -> DataFrame:
     """Pairs of points and segments at most reach apart (and with an angle below max_angle to the point's heading).
 
-    A segment goes to every cell (of size reach) that its box, widened by reach, meets; a point lies in one cell, so a
-    pair occurs once and no pair is lost. Hot cells are split by AQE, which the join on the cell leaves free to do so.
+    A segment goes to the cells (of size reach) along it: in each column of cells that it meets, widened by reach, to
+    the rows that its part there may reach, so a long diagonal has cells by its length, not by its box. A point lies in
+    one cell, so a pair occurs once and no pair is lost. Hot cells are split by AQE, which the join leaves free to do so.
     """
     cell = lambda c: F.floor(c / reach)
-    lo, hi = (lambda a, b: cell(F.least(a, b) - reach)), (lambda a, b: cell(F.greatest(a, b) + reach))
-    s = segs.withColumn("cx", F.explode(F.sequence(lo(F.col("x1"), F.col("x2")), hi(F.col("x1"), F.col("x2"))))).withColumn("cy", F.explode(F.sequence(lo(F.col("y1"), F.col("y2")), hi(F.col("y1"), F.col("y2")))))
+    west, east = F.least("x1", "x2"), F.greatest("x1", "x2")
+    s = segs.withColumn("cx", F.explode(F.sequence(cell(west - reach), cell(east + reach))))
+    # the part of the segment within reach of the column's sides, and its ends' y
+    share = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - F.col("x1"), F.col("x2") - F.col("x1")))))
+    upright = F.col("x1") == F.col("x2")
+    at = lambda x: F.col("y1") + share(x) * (F.col("y2") - F.col("y1"))
+    left, right = at((F.col("cx") - 1) * reach), at((F.col("cx") + 2) * reach)
+    low = F.when(upright, F.least("y1", "y2")).otherwise(F.least(left, right)) - reach * 1.001
+    high = F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest(left, right)) + reach * 1.001
+    s = s.withColumn("cy", F.explode(F.sequence(cell(low), cell(high))))
     p = points.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    d, share = on_segment()
-    j = p.join(s, ["cx", "cy"]).withColumns({"dist": d, "share": share}).where(F.col("dist") <= reach)
+    d, share_at = on_segment()
+    j = p.join(s, ["cx", "cy"]).withColumns({"dist": d, "share": share_at}).where(F.col("dist") <= reach)
     if max_angle is not None:
         j = j.withColumn("angle", angle_between(F.col("heading"), F.col("azimuth"))).where(F.col("angle") < max_angle)
     return j.drop("cx", "cy")
 
 
-def matched(points: DataFrame, segs: DataFrame, reach: float = 50.0, max_angle: float = 45.0) -> DataFrame:
-    """(id, id_link, position, p, n_candidates): each point's likeliest link.
-
-    Likelihoods of its segments are normalised over the point and added up per link; the position (metres on the link)
-    is that of the link's likeliest segment. Ties go to the smaller id. Unmatched points give no row.
-    """
+def _likelihoods(points: DataFrame, segs: DataFrame, reach: float, max_angle: float, also: Sequence[str] = ()) -> DataFrame:
+    """(id, *also, id_link, w, position): likelihoods of each point's segments, added up per link; the position (metres
+    on the link) is that of the link's likeliest segment."""
     c = candidates(points, segs, reach, max_angle)
     c = c.withColumn("w", distance_likelihood(F.col("dist")) * angle_likelihood(F.col("angle"), F.col("engine")))
-    link = c.groupBy("id", "id_link").agg(F.sum("w").alias("w"), F.max_by(F.col("from_m") + F.col("share") * F.col("length"), F.struct("w", -F.col("pos"))).alias("position"))
-    best = link.groupBy("id").agg(F.max_by(F.struct("id_link", "position", "w"), F.struct("w", -F.col("id_link"))).alias("b"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("n_candidates"))
-    return best.select("id", "b.id_link", "b.position", F.try_divide(F.col("b.w"), F.col("total")).alias("p"), "n_candidates")
+    return c.groupBy("id", *also, "id_link").agg(F.sum("w").alias("w"), F.max_by(F.col("from_m") + F.col("share") * F.col("length"), F.struct("w", -F.col("pos"))).alias("position"))
+
+
+def matched(points: DataFrame, segs: DataFrame, reach: float = 50.0, max_angle: float = 45.0, also: Sequence[str] = ()) -> DataFrame:
+    """(id, *also, id_link, position, p, n_candidates): each point's likeliest link.
+
+    Likelihoods are normalised over the point. Ties go to the smaller id. Unmatched points give no row. `also` are
+    further columns of the points, which have one row an id.
+    """
+    link = _likelihoods(points, segs, reach, max_angle, also)
+    best = link.groupBy("id", *also).agg(F.max_by(F.struct("id_link", "position", "w"), F.struct("w", -F.col("id_link"))).alias("b"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("n_candidates"))
+    return best.select("id", *also, "b.id_link", "b.position", F.try_divide(F.col("b.w"), F.col("total")).alias("p"), "n_candidates")
+
+
+def ranked_candidates(points: DataFrame, segs: DataFrame, reach: float = 50.0, max_angle: float = 45.0) -> DataFrame:
+    """(id, id_link, position, p, k): every link a point may lie on with its probability, k = 0 the likeliest; ties to
+    the smaller id. A point's candidates are the links in reach."""
+    link = _likelihoods(points, segs, reach, max_angle)
+    of = W.partitionBy("id")
+    return link.select("id", "id_link", "position", F.try_divide(F.col("w"), F.sum("w").over(of)).alias("p"), (F.row_number().over(of.orderBy(F.desc("w"), "id_link")) - 1).alias("k"))
 
 
 def nearest_link(points: DataFrame, segs: DataFrame, reach: float) -> DataFrame:

@@ -59,7 +59,22 @@ g AS (SELECT s, z AS a, lead(a) OVER (PARTITION BY s ORDER BY a) AS z FROM p)
 SELECT 'period' AS kind, s AS id_link_set, a AS from_min, z AS to_min FROM p
 UNION ALL SELECT 'gap', s, a, z FROM g WHERE z IS NOT NULL"""
 
+#: p3 without partitions: points against all edges by the even-odd rule, and a range join of the switch-on pings.
+_P3 = rf"""
+WITH c AS (SELECT {_ID} AS id, *, regexp_extract_all(coalesce(regexp_extract(geometry, '[(\[][^(\[]*$'), ''), '-?\d+(?:\.\d+)?') AS g FROM fcd),
+f AS (SELECT * FROM c WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at, batch) = 1),
+e AS (SELECT * FROM (SELECT id, id_veh, CAST(ts AS DATE) AS day, CASE WHEN geometry IS NULL THEN x ELSE CAST(g[1] AS DOUBLE) END AS x, CASE WHEN geometry IS NULL THEN y ELSE CAST(g[2] AS DOUBLE) END AS y FROM f WHERE engine = 0 AND ts IS NOT NULL AND id_veh IS NOT NULL) WHERE x IS NOT NULL AND y IS NOT NULL),
+t AS (SELECT *, regexp_extract_all(regexp_extract(geometry, '[(\[].*'), '-?\d+(?:\.\d+)?') AS n FROM trips WHERE id_trip IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_trip ORDER BY loaded_at) = 1),
+q AS (SELECT 'ping_zone' AS kind, id, NULL::BIGINT AS given, x, y FROM e UNION ALL SELECT 'trip_o', id_trip, id_zone_o, CAST(n[1] AS DOUBLE), CAST(n[2] AS DOUBLE) FROM t UNION ALL SELECT 'trip_d', id_trip, id_zone_d, CAST(n[-2] AS DOUBLE), CAST(n[-1] AS DOUBLE) FROM t),
+z AS (SELECT id, unnest(regexp_extract_all(regexp_replace(translate(regexp_extract(geometry, '[(\[].*'), '[]', '()'), '\(\s*(-?[\d.]+)\s*,\s*(-?[\d.]+)\s*\)', '\1 \2', 'g'), '\(([^()]+)\)', 1)) AS ring FROM zones),
+r AS (SELECT id, regexp_extract_all(ring, '-?\d+(?:\.\d+)?') AS n FROM z),
+s AS (SELECT id, CAST(n[2*i-1] AS DOUBLE) AS x1, CAST(n[2*i] AS DOUBLE) AS y1, CAST(n[2*i+1] AS DOUBLE) AS x2, CAST(n[2*i+2] AS DOUBLE) AS y2 FROM (SELECT *, unnest(generate_series(1, len(n) // 2 - 1)) AS i FROM r)),
+h AS (SELECT kind, q.id, given, s.id AS zone FROM q JOIN s ON y >= least(y1, y2) AND y <= greatest(y1, y2) AND (y1 <= y) <> (y2 <= y) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1) GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT kind, id AS id_1, zone AS id_2 FROM h WHERE kind = 'ping_zone' OR given IS DISTINCT FROM zone
+UNION ALL SELECT 'ping_near', a.id, b.id FROM e a JOIN e b ON a.day = b.day AND a.id < b.id AND a.id_veh <> b.id_veh AND b.x BETWEEN a.x - 50 AND a.x + 50 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 50"""
+
 SQL: dict[str, str] = {
+    "p3_found": _P3,
     "p1_found": _P1,
     "p5_found": f"SELECT {_ID} AS id_fcd FROM fcd WHERE {_ID} IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "p5_first_copies": f"""SELECT id_fcd, ts, received_at, n AS n_deliveries FROM (SELECT {_ID} AS id_fcd, ts, received_at, count(*) OVER (PARTITION BY {_ID}) AS n,

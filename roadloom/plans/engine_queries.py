@@ -411,28 +411,48 @@ def segment_congestion_stats(s: SparkSession, d: str) -> DataFrame:
 def _points(s: SparkSession, d: str) -> DataFrame:
     """Pings with a heading, which and whose speed are those of the first-received copy."""
     f = table(s, d, "fcd").withColumns({c: F.col(c).cast("double") for c in ("heading", "speed")})
-    return first_pings(f, ("heading", "speed")).where("heading is not null")
+    return first_pings(f, ("engine", "heading", "speed")).where("heading is not null")
 
 
-@query(f"""WITH {_LINE}, {_PINGS.replace("c AS (", "c AS (", 1)}, e AS (SELECT id, x, y FROM p WHERE engine = 2),
+@query(f"""WITH {_LINE}, {_PINGS.replace("c AS (", "c AS (", 1)}, e AS (SELECT id, x, y FROM p),
 j AS (SELECT e.id, id_link, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1)) / nullif((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1), 0))) AS q FROM e JOIN s ON x BETWEEN least(x1, x2) - 200 AND greatest(x1, x2) + 200 AND y BETWEEN least(y1, y2) - 200 AND greatest(y1, y2) + 200),
 n AS (SELECT id, id_link, sqrt(pow(x-x1-q*(x2-x1), 2) + pow(y-y1-q*(y2-y1), 2)) AS dist FROM j)
 SELECT id, id_link, round(dist, 4) AS dist FROM n WHERE dist <= 200 QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, id_link) = 1""")
 def nearest_link(s: SparkSession, d: str) -> DataFrame:
-    p = first_pings(table(s, d, "fcd")).where("engine = 2").select("id", "x", "y")
+    p = first_pings(table(s, d, "fcd"), ()).select("id", "x", "y")
     return M.nearest_link(p, N.segments(table(s, d, "links")), 200.0).select("id", "id_link", F.round("dist", 4).alias("dist"))
 
 
-@query()
+#: Every pair of a ping and a directed segment in reach, with both likelihoods; the likeliest link of each ping.
+_MATCHED = f"""{_LINE}, {_PINGS.replace("SELECT id, id_veh, ts, engine,", "SELECT id, id_veh, ts, engine, heading::DOUBLE AS heading, speed::DOUBLE AS speed,")},
+b AS (SELECT id_link, pos, x1, y1, x2, y2 FROM s UNION ALL SELECT -id_link, -pos, x2, y2, x1, y1 FROM s),
+l AS (SELECT *, sqrt(pow(x2-x1, 2) + pow(y2-y1, 2)) AS len, degrees(atan2(x2-x1, y2-y1)) + CASE WHEN atan2(x2-x1, y2-y1) < 0 THEN 360 ELSE 0 END AS az FROM b),
+m AS (SELECT *, sum(len) OVER (PARTITION BY id_link ORDER BY pos) - len AS from_m FROM l),
+j AS (SELECT p.id, engine, id_link, pos, x, y, x1, y1, x2, y2, from_m, len, abs(heading - az) % 360 AS a, coalesce(greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1)) / nullif((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1), 0))), 0) AS q
+ FROM p JOIN m ON x BETWEEN least(x1, x2) - 150 AND greatest(x1, x2) + 150 AND y BETWEEN least(y1, y2) - 150 AND greatest(y1, y2) + 150 WHERE heading IS NOT NULL),
+n AS (SELECT *, sqrt(pow(x-x1-q*(x2-x1), 2) + pow(y-y1-q*(y2-y1), 2)) AS dist, least(a, 360 - a) AS angle FROM j),
+w AS (SELECT *, 0.183024 * exp(-dist / 5.46376) * CASE WHEN angle <= 5 OR engine IN (0, 2) THEN 0.1 ELSE 0.1 * exp(-(angle - 5) / 5) END AS w FROM n WHERE dist <= 150 AND angle < 45),
+k AS (SELECT id, id_link, sum(w) AS w, arg_max(from_m + q * len, (w, -pos)) AS position FROM w GROUP BY ALL),
+r AS (SELECT id, arg_max(id_link, (w, -id_link)) AS id_link, arg_max(position, (w, -id_link)) AS position, max(w) / sum(w) AS prob, count(*) AS n_candidates FROM k GROUP BY 1)"""
+
+
+@query(f"WITH {_MATCHED} SELECT id, id_link, round(position, 3) AS position, round(prob, 6) AS p, n_candidates FROM r")
 def map_matching(s: SparkSession, d: str) -> DataFrame:
-    return M.matched(_points(s, d), N.segments(table(s, d, "links"), True), 150.0, 45.0)
+    m = M.matched(_points(s, d), N.segments(table(s, d, "links"), True), 150.0, 45.0)
+    return m.select("id", "id_link", F.round("position", 3).alias("position"), F.round("p", 6).alias("p"), "n_candidates")
 
 
-@query()
+@query(f"WITH {_MATCHED} SELECT id, id_link, round(w / sum(w) OVER (PARTITION BY id), 6) AS p, CAST(row_number() OVER (PARTITION BY id ORDER BY w DESC, id_link) - 1 AS INT) AS k FROM k")
+def matching_candidates(s: SparkSession, d: str) -> DataFrame:
+    c = M.ranked_candidates(_points(s, d), N.segments(table(s, d, "links"), True), 150.0, 45.0)
+    return c.select("id", "id_link", F.round("p", 6).alias("p"), "k")
+
+
+@query(f"WITH {_MATCHED} SELECT id_link, time_bucket(INTERVAL 15 MINUTE, ts) AS slice, round(avg(speed), 4) AS speed, count(speed) AS n FROM r JOIN p USING (id) WHERE speed IS NOT NULL GROUP BY ALL")
 def link_speed_slices(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    m = M.matched(p, N.segments(table(s, d, "links"), True), 150.0, 45.0).join(p.select("id", "ts", "speed"), "id")
-    return M.link_speeds(m)
+    m = M.matched(p, N.segments(table(s, d, "links"), True), 150.0, 45.0, also=("ts", "speed"))
+    return M.link_speeds(m).withColumn("speed", F.round("speed", 4))
 
 
 @query("""WITH v AS (SELECT id_link, slot_ts AS slice, avg(avg_speed) AS speed, count(avg_speed) AS n FROM aggregated_results WHERE avg_speed IS NOT NULL GROUP BY ALL)
