@@ -6,6 +6,7 @@ Unlike trips.stops_and_trips, which finds stops by place, this builder decides p
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from math import hypot
 
 import numpy as np
@@ -35,25 +36,48 @@ class Rules:
     low: float = 5.0
     high: float = 95.0
     reach: float = 1.5
+    trim: bool = False
+    stop_o_m: float = 50.0
+    stop_d_m: float = 50.0
+
+
+def trimmed(trip: list[int], x: np.ndarray, y: np.ndarray, rules: Rules) -> list[int]:
+    """The trip from the last ping in a row near its first place to the first in a row near its last place."""
+    far = np.flatnonzero(np.hypot(x[trip] - x[trip[0]], y[trip] - y[trip[0]]) >= rules.stop_o_m)
+    trip = trip[max(0, int(far[0]) - 1 if len(far) else len(trip) - 1) :]
+    far = np.flatnonzero(np.hypot(x[trip] - x[trip[-1]], y[trip] - y[trip[-1]]) >= rules.stop_d_m)
+    return trip[: int(far[-1]) + 2 if len(far) else 1]
 
 
 def cut_trips(t: np.ndarray, x: np.ndarray, y: np.ndarray, engine: np.ndarray, odo: np.ndarray, rules: Rules) -> list[list[int]]:
-    """Indices of the pings of each trip of one vehicle, in order; t in seconds, odo NaN where unknown.
+    """Indices of the pings of each trip of one vehicle, in order (see cut_so_far)."""
+    trips, _, rest = cut_so_far(t, x, y, engine, odo, rules, len(t))
+    return trips + rest
+
+
+def cut_so_far(t: np.ndarray, x: np.ndarray, y: np.ndarray, engine: np.ndarray, odo: np.ndarray, rules: Rules, upto: int) -> tuple[list[list[int]], int, list[list[int]]]:
+    """Of the first `upto` pings of one vehicle, in order: the trips that are over, the first ping of the one still
+    open, and that one if it is a trip; t in seconds, odo NaN where unknown. No later ping changes what is over.
 
     A ping at the time or place of the one before is passed over. A break starts a new trip: engine switched on, or off
     at the ping before; odometer falling or jumping; silence, or a shorter one at walking pace. Else a ping too fast to
-    come and to go is dropped, and one that stood still from a moving anchor for long cuts the trip at the anchor.
+    come and to go is dropped. The anchor slides along the trip, stop_s behind: one that a ping reaches from it in more
+    than that, but at hardly any speed, means a stop, and cuts the trip before the anchor. With `trim` the pings of a
+    trip that stand at its ends are left out.
     """
     trips: list[list[int]] = []
     now: list[int] = []
     far = False
-    prev = anchor = -1
+    anchor = 0  # place in now
+    prev = -1
     n = len(t)
     ts, xs, ys, on, read = (v.tolist() for v in (t, x, y, engine, odo))  # lists are read faster one by one
 
     def close() -> None:
-        nonlocal now, far
+        nonlocal now, far, anchor
         trip = now
+        if rules.trim and len(trip) > 1:
+            trip = trimmed(trip, x, y, rules)
         if far and len(trip) > 2:
             px, py = x[trip], y[trip]
             keep = np.ones(len(trip), bool)
@@ -67,11 +91,12 @@ def cut_trips(t: np.ndarray, x: np.ndarray, y: np.ndarray, engine: np.ndarray, o
                 span = float(np.hypot(np.diff(x[trip]), np.diff(y[trip])).sum())
             if span >= rules.least_m:
                 trips.append(trip)
-        now, far = [], False
+        now, far, anchor = [], False, 0
 
-    for i in range(n):
+    begun = 0
+    for i in range(upto):
         if prev < 0:
-            now, prev, anchor = [i], i, i
+            now, prev, begun = [i], i, i
             continue
         dt = ts[i] - ts[prev]
         if dt == 0 or (xs[i] == xs[prev] and ys[i] == ys[prev]):
@@ -80,28 +105,31 @@ def cut_trips(t: np.ndarray, x: np.ndarray, y: np.ndarray, engine: np.ndarray, o
         v, d_odo = dist / dt, read[i] - read[prev]
         if on[i] == 0 or on[prev] == 2 or d_odo < 0 or d_odo > rules.jump_m or dt > rules.silence_s or (dt > rules.slow_silence_s and v < rules.slow_m_s):
             close()
-            now, prev, anchor = [i], i, i
+            now, prev, begun = [i], i, i
             continue
         if i + 1 < n and ts[i + 1] > ts[i]:
             ahead = hypot(xs[i + 1] - xs[i], ys[i + 1] - ys[i]) / (ts[i + 1] - ts[i])
             if v > rules.max_m_s and ahead > rules.max_m_s:
                 continue
             if v > rules.max_m_s >= ahead and len(now) == 1:
-                now, prev, anchor = [i], i, i
+                now, prev, begun, anchor = [i], i, i, 0
                 continue
         far |= dist > rules.jump_m
-        since = ts[i] - ts[anchor]
-        if since > rules.stop_s and hypot(xs[i] - xs[anchor], ys[i] - ys[anchor]) / since < rules.stop_m_s:
-            now = [k for k in now if k <= anchor]
-            close()
-            now, prev, anchor = [i], i, i
-            continue
+        a = now[anchor]
+        since = ts[i] - ts[a]
         if since > rules.stop_s:
-            anchor = i
+            if hypot(xs[i] - xs[a], ys[i] - ys[a]) / since < rules.stop_m_s:
+                now = now[:anchor]
+                close()
+                now, prev, begun = [i], i, i
+                continue
+            while anchor < len(now) and ts[i] - ts[now[anchor]] > rules.stop_s:
+                anchor += 1
         now.append(i)
         prev = i
+    over = len(trips)
     close()
-    return trips
+    return trips[:over], begun, trips[over:]
 
 
 TRIP = "id_veh string, id_trip bigint, id_last bigint, t_o bigint, t_d bigint, x_o double, y_o double, x_d double, y_d double, n bigint, dist double, avg_speed double, ids array<bigint>"
@@ -128,8 +156,11 @@ def trip_rows(tab: pa.Table, starts: np.ndarray, rules: Rules) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 13, kinds, strict=True)], names=[c.split()[0] for c in TRIP.split(", ")])
 
 
-def build_trips(fcd: DataFrame, rules: Rules | None = None, block_us: int = DAY_US) -> DataFrame:
-    """(id_trip, id_veh, dt_o, dt_d, n, dist, avg_speed, previous, p_before, x_o, y_o, ids) of each trip.
+def build_trips(fcd: DataFrame, rules: Rules | None = None, block_us: int = DAY_US, until: datetime | None = None) -> DataFrame:
+    """(id_trip, id_veh, dt_o, dt_d, n, dist, avg_speed, previous, p_before, x_o, y_o, truncated, ids) of each trip.
+
+    truncated: a vehicle's last trip that ends within silence_s of `until`, the end of the data (none is without it);
+    more of it may come, so a caller keeps its pings for the next run.
 
     A silence over silence_s always parts trips, so blocks of a vehicle's time are cut at their first such silence; a
     hot vehicle is spread over tasks. A trip that begins at most join_m from the end of the one before starts there.
@@ -147,4 +178,7 @@ def build_trips(fcd: DataFrame, rules: Rules | None = None, block_us: int = DAY_
     near = F.hypot(F.col("x_o") - F.lag("x_d").over(v), F.col("y_o") - F.lag("y_d").over(v)) <= rules.join_m
     trips = trips.withColumns({"near": F.coalesce(near, F.lit(False)), "previous": F.lag("id_trip").over(v), "p_before": (F.col("t_o") - F.lag("t_d").over(v)) / 1e6, "px": F.lag("x_d").over(v), "py": F.lag("y_d").over(v)})
     start = lambda a, b: F.when(F.col("near"), F.col(a)).otherwise(F.col(b))
-    return trips.select("id_trip", "id_veh", F.timestamp_micros("t_o").cast("timestamp_ntz").alias("dt_o"), F.timestamp_micros("t_d").cast("timestamp_ntz").alias("dt_d"), "n", "dist", "avg_speed", "previous", "p_before", start("px", "x_o").alias("x_o"), start("py", "y_o").alias("y_o"), "ids")
+    end = F.lit(until).cast("timestamp") if until else F.lit(None).cast("timestamp")
+    open_end = F.lead("id_trip").over(v).isNull() & (F.col("t_d") > F.unix_micros(end) - F.lit(int(rules.silence_s * 1e6)))
+    trips = trips.withColumn("truncated", F.coalesce(open_end, F.lit(False)))
+    return trips.select("id_trip", "id_veh", F.timestamp_micros("t_o").cast("timestamp_ntz").alias("dt_o"), F.timestamp_micros("t_d").cast("timestamp_ntz").alias("dt_d"), "n", "dist", "avg_speed", "previous", "p_before", start("px", "x_o").alias("x_o"), start("py", "y_o").alias("y_o"), "truncated", "ids")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from roadloom.functions.geo import number_id, with_place
-from roadloom.operators.fcd_trips import Rules, cut_trips
+from roadloom.operators.fcd_trips import Rules, cut_so_far
 
 
 def pings(spark: SparkSession, folder: str, schema: StructType, horizon: str = "60 minutes", files: int = 1, ends: str | None = None) -> DataFrame:
@@ -44,14 +44,17 @@ def gap_sessions(p: DataFrame, gap: str = "15 minutes") -> DataFrame:
 
 
 TRIP = "id_veh string, id_trip bigint, id_last bigint, dt_o timestamp, dt_d timestamp, n bigint, dist double"
-_STATE = "t array<double>, x array<double>, y array<double>, engine array<int>, progr array<double>, id array<bigint>"
+_STATE = "seen double, t array<double>, x array<double>, y array<double>, engine array<int>, progr array<double>, id array<bigint>"
 
 
 def streamed_trips(p: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """Trips of each vehicle as they end: state is the pings of the unfinished trip, carried from batch to batch.
+    """Trips of each vehicle as they end: state is the pings of the unfinished trip, carried from batch to batch, and the
+    watermark up to which they are known.
 
-    A trip is sent out when the watermark is silence_s past its last ping, so that no ping that is still taken can join
-    it. Input that is late by the horizon at most gives the trips of the batch builder, unjoined.
+    A trip is sent out once it is over by the rules and the watermark is past the ping that shows it, or silence_s past
+    its last ping. A ping behind the watermark of the vehicle's last batch is dropped, so nothing joins or overlaps a
+    trip sent out; the memory of that outlasts the trip by a batch, after which Spark itself drops such pings. Input
+    that is late by the horizon at most gives the trips of the batch builder, unjoined.
     """
     rules = rules or Rules()
     names = ["t", "x", "y", "engine", "progr", "id"]
@@ -64,28 +67,40 @@ def streamed_trips(p: DataFrame, rules: Rules | None = None) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRIP.split(", ")])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a = dict(zip(names, (np.asarray(v, float) for v in state.get), strict=True)) if state.exists else {n: np.zeros(0) for n in names}
+        seen, *held = state.get if state.exists else (-np.inf, *[[]] * len(names))
+        a = dict(zip(names, (np.asarray(v, float) for v in held), strict=True))
         if not state.hasTimedOut:
             new = pd.concat(list(batches))
             new = new.assign(t=new.ts.astype("int64") / (1e9 if str(new.ts.dtype).startswith("datetime64[ns") else 1e6), engine=new.engine.fillna(1), progr=new.progr.astype(float))
+            new = new[new.t > seen]
             a = {n: np.concatenate([a[n], new[n].to_numpy(float)]) for n in names}
             order = np.lexsort((a["id"], a["t"]))
             a = {n: v[order] for n, v in a.items()}
+        mark = state.getCurrentWatermarkMs()
+        t = a["t"]
+        known = int(np.searchsorted(t, mark / 1000, side="right"))  # no ping can come before these any more
         # settled: everything before the first silence that the watermark hasn't passed; a silence parts trips whatever follows
-        mark, begin = state.getCurrentWatermarkMs(), 0
-        ends = np.r_[np.flatnonzero(np.diff(a["t"]) > rules.silence_s), len(a["t"]) - 1]
-        due = ((a["t"][ends] + rules.silence_s) * 1000).astype(np.int64)
+        ends = np.r_[np.flatnonzero(np.diff(t) > rules.silence_s), len(t) - 1].astype(int) if len(t) else np.zeros(0, int)
+        due = ((t[ends] + rules.silence_s) * 1000).astype(np.int64)
         passed = int(np.searchsorted(due, mark))
-        if passed:
-            begin = int(ends[passed - 1]) + 1
+        begin = int(ends[passed - 1]) + 1 if passed else 0
+        cut = lambda a, upto: cut_so_far(a["t"], a["x"], a["y"], a["engine"], a["progr"], rules, upto)
+        if begin:
             done = {n: v[:begin] for n, v in a.items()}
-            yield rows(key, done, cut_trips(done["t"], done["x"], done["y"], done["engine"], done["progr"], rules))
-        if begin == len(a["t"]):
+            trips, _, last = cut(done, begin)
+            yield rows(key, done, trips + last)
+        rest = {n: v[begin:] for n, v in a.items()}
+        if known - begin > 1:  # and, of what goes on, every trip that is over
+            trips, first, _ = cut(rest, known - begin - 1)
+            if first:
+                yield rows(key, rest, trips)
+                rest = {n: v[first:] for n, v in rest.items()}
+        left = len(rest["t"])
+        if not left and state.hasTimedOut:
             state.remove()
             return
-        rest = {n: v[begin:] for n, v in a.items()}
-        state.update((rest["t"].tolist(), rest["x"].tolist(), rest["y"].tolist(), rest["engine"].astype(int).tolist(), rest["progr"].tolist(), rest["id"].astype(int).tolist()))
-        state.setTimeoutTimestamp(max(int(due[passed]), mark + 1))
+        state.update((max(seen, mark / 1000), rest["t"].tolist(), rest["x"].tolist(), rest["y"].tolist(), rest["engine"].astype(int).tolist(), rest["progr"].tolist(), rest["id"].astype(int).tolist()))
+        state.setTimeoutTimestamp(max(int(due[passed]) if left else 0, mark + 1))
 
     slim = p.select("id_veh", "id", "ts", "x", "y", F.col("engine").cast("int").alias("engine"), "progr")
     return slim.groupBy("id_veh").applyInPandasWithState(step, TRIP, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

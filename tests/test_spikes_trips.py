@@ -234,3 +234,19 @@ def test_trip_recorder_rules():
     spike = [(t, x + (50_000 if i == 2 else 0), e, o) for i, (t, x, e, o) in enumerate(base)]
     assert cut(spike) == [[0, 1, 3, 4]]
     assert cut(base[:1]) == [] and cut([(0, 0, 1, nan), (30, 50, 1, nan)]) == []  # too short
+    # a stop of 700 s from 1000 s on, seen by the sliding anchor; the trip ends before the anchor
+    stop = [(20 * i, 200 * min(i, 50) + (i > 85) * 200 * (i - 85) + i % 2, 1, nan) for i in range(130)]
+    first, second = cut(stop)
+    assert 48 <= first[-1] <= 52 and 80 <= second[0] <= 86 and second[-1] == 129
+    long = [(20 * i, 200 * min(i, 50) + (i > 100) * 200 * (i - 100) + i % 2, 1, nan) for i in range(150)]  # 1000 s: nothing of it is left in the first trip
+    assert cut(long)[0][-1] <= 52
+    stand = [(30 * i, 10 * (i % 2) + 300 * max(0, min(i - 5, 5)), 1, nan) for i in range(16)]
+    t, x, engine, odo = (np.array(c, float) for c in zip(*stand))
+    assert cut_trips(t, x, 0 * x, engine, odo, Rules(trim=True)) == [[5, 6, 7, 8, 9, 10]] and len(cut_trips(t, x, 0 * x, engine, odo, Rules())[0]) == 16
+
+
+def test_truncated_tail(spark):
+    df = pings(spark, {"a": [(30 * i, X + 300 * i, Y) for i in range(10)], "b": [(4000 + 30 * i, X + 300 * i, Y) for i in range(10)]})
+    end = T0 + timedelta(seconds=4400)
+    assert {r.id_veh: r.truncated for r in build_trips(df, until=end).collect()} == {"a": False, "b": True}
+    assert not any(r.truncated for r in build_trips(df).collect())

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from roadloom.operators.fcd_trips import build_trips
@@ -42,3 +43,17 @@ def test_sink_replaces_a_repeated_batch(spark, tmp_path):
     write(df, 3)
     write(df, 3)
     assert spark.read.parquet(str(tmp_path)).count() == 1
+
+
+def test_late_pings_make_no_trips_beside_those_sent_out(spark, tmp_path):
+    """Ten pings that come after a later trip was sent out, and a vehicle that is never silent but switched off and on."""
+    ping = lambda n, v, s, engine=1: (str(n), v, T0 + timedelta(seconds=s), engine, 36.0, 90.0, None, 10.0 * (s % 3600), 0.0, None, 1, T0)
+    first = [ping(i, "a", 20_000 + 30 * i) for i in range(20)] + [ping(1000 + i, "c", 30 * i, 0 if i % 100 == 0 else 1) for i in range(1200)]
+    parts = [first, [ping(900, "z", 40_000)], [ping(200 + i, "a", 19_000 + 30 * i) for i in range(10)] + [ping(901, "z", 40_030)], [ping(902, "z", 90_000)], [ping(903, "z", 180_000)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        time.sleep(1.1)
+    got = R.run_available(R.streamed_trips(R.pings(spark, f"{tmp_path}/in/*", spark.createDataFrame(first, SCHEMA).schema)), str(tmp_path / "out")).collect()
+    mine = sorted((r.dt_o, r.dt_d, r.n) for r in got if r.id_veh == "a")
+    assert [m[2] for m in mine] == [20] and sum(r.n for r in got if r.id_veh == "c") > 1100
+    assert sorted(r.id_trip for r in got if r.id_veh == "c") == [1000 + 100 * k for k in range(12)]
