@@ -2,7 +2,7 @@
 
 Partition: a bounded number of pivots, each point in the Voronoi cell of its nearest pivot. A centre that may be
 within its radius of a point is also sent to every cell whose pivot is at most twice the radius further than its
-nearest: by the triangle inequality no pair is lost. Within a cell a vantage-point tree over the centres is searched
+nearest: by the triangle inequality no pair is lost. Hot cells are divided again in the same way. Within a cell a vantage-point tree over the centres is searched
 by all query points at once. Any metric will do; planar and great-circle distance are given.
 """
 
@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import finite
 from roadloom.operators.delivery import first_delivery, first_pings
 from roadloom.operators.sequences import per_group, spans
-from roadloom.session import written
+from roadloom.session import discarded, written
 
 Metric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 EARTH_M = 6_371_008.8
 LEAF = 64
 #: Pivots are the points with the smallest hashes: a sample bounded by this number, whatever the input.
 PIVOTS = 128
-#: Query rows of a cell that one task takes; a hotter cell is split and its centres copied to each part.
+#: Query rows of a cell that one task takes. A hotter cell is divided again by pivots of its own; only where that leaves
+#: more (about one place) are its queries dealt to parts and its centres copied to each.
 HOT = 50_000
 
 
@@ -167,14 +168,57 @@ def in_cells(df: DataFrame, x: str, y: str, r: str | None, pivots: np.ndarray, m
     return df.mapInArrow(assign, schema)
 
 
-def _parts(queries: DataFrame, keys: list[str]) -> DataFrame:
-    """The number of parts of each hot group of queries."""
-    return queries.groupBy(*keys).count().where(F.col("count") > HOT).select(*[F.col(k).alias(f"h_{k}") for k in keys], F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+def _hot_pivots(queries: DataFrame, keys: list[str], x: str, y: str, count: int = PIVOTS) -> dict[int, np.ndarray]:
+    """Pivots of each cell that holds a hot group of queries: about `count` of its places, those with the smallest
+    remainders of their hashes. Sent to the driver: the hot ones of at most PIVOTS cells, and about `count` places each."""
+    hot = [r[0] for r in queries.groupBy(*keys).count().where(F.col("count") > HOT).select("cell").distinct().collect()]
+    if not hot:
+        return {}
+    places = written(queries.where(F.col("cell").isin(hot)).select("cell", x, y).distinct(), "hot-places")
+    size = places.groupBy("cell").agg(F.count(F.lit(1)).alias("places"))
+    got = places.join(F.broadcast(size), "cell").where(F.pmod(F.xxhash64(x, y), F.col("places")) < count).select("cell", x, y).collect()
+    discarded(places)
+    found: dict[int, list] = {}
+    for cell, px, py in sorted(got):
+        found.setdefault(cell, []).append((px, py))
+    return {c: np.array(p, float) for c, p in found.items() if len(p) > 1}
+
+
+def _divided(df: DataFrame, hot: dict[int, np.ndarray], x: str, y: str, r: str | None, metric: Metric) -> DataFrame:
+    """Adds `sub`, the nearest of its hot cell's own pivots (0 elsewhere); with a radius column, a row for every other
+    one it may matter to, by the same inequality as in_cells."""
+    if not hot:
+        return df.withColumn("sub", F.lit(0))
+    schema = df.withColumn("sub", F.lit(0)).schema
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b.column("cell").to_numpy(zero_copy_only=False)
+            px, py = (b.column(c).to_numpy(zero_copy_only=False) for c in (x, y))
+            rows, subs = [np.flatnonzero(~np.isin(cells, list(hot)))], []
+            subs.append(np.zeros(len(rows[0]), np.int64))
+            for c in np.intersect1d(np.unique(cells), list(hot)):
+                p = hot[int(c)]
+                for at in np.array_split(np.flatnonzero(cells == c), max(1, (cells == c).sum() // 5000)):
+                    d = metric(px[at, None], py[at, None], p[None, :, 0], p[None, :, 1])
+                    if r is None:
+                        rows.append(at)
+                        subs.append(d.argmin(axis=1))
+                    else:
+                        reach = d.min(axis=1) + 2 * b.column(r).to_numpy(zero_copy_only=False)[at]
+                        row, sub = np.nonzero(d <= (reach * (1 + 1e-9) + 1e-6)[:, None])
+                        rows.append(at[row])
+                        subs.append(sub)
+            t = pa.Table.from_batches([b]).take(pa.array(np.concatenate(rows))).append_column("sub", pa.array(np.concatenate(subs).astype(np.int32)))
+            yield from t.cast(pa.schema([f.with_nullable(True) for f in t.schema])).to_batches()
+
+    return df.mapInArrow(assign, schema)
 
 
 def _split(queries: DataFrame, centres: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Adds `part`: queries of a hot group are dealt to its parts by hash, and its centres are copied to each part."""
-    hot = _parts(queries, keys)
+    """Adds `part`: queries of a group that is still hot are dealt to its parts by hash, and its centres are copied to
+    each part."""
+    hot = queries.groupBy(*keys).count().where(F.col("count") > HOT).select(*[F.col(k).alias(f"h_{k}") for k in keys], F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
     on = lambda d: [d[k] == hot[f"h_{k}"] for k in keys]
     drop = [f"h_{k}" for k in keys] + ["parts"]
     queries = queries.join(hot, on(queries), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("qid"), F.col("parts")), F.lit(0)).cast("int")).drop(*drop)
@@ -190,8 +234,10 @@ def near_pairs(points: DataFrame, radius: float, metric: Metric = planar, pivots
     if not len(at):
         return points.select(F.col("id").alias("id_1"), F.col("id").alias("id_2")).limit(0)
     cells = written(in_cells(points, "x", "y", "r", at, metric), "cells")
-    queries, centres = _split(cells.where("own").withColumn("qid", F.col("id")), cells, ["grp", "cell"])
-    both = queries.select("grp", "cell", "part", F.lit(True).alias("query"), "id", "entity", "x", "y").unionByName(centres.select("grp", "cell", "part", F.lit(False).alias("query"), "id", "entity", "x", "y"))
+    hot = _hot_pivots(cells.where("own"), ["grp", "cell"], "x", "y", pivots)
+    queries = _divided(cells.where("own").withColumn("qid", F.col("id")), hot, "x", "y", None, metric)
+    queries, centres = _split(queries, _divided(cells, hot, "x", "y", "r", metric), ["grp", "cell", "sub"])
+    both = queries.select("grp", "cell", "sub", "part", F.lit(True).alias("query"), "id", "entity", "x", "y").unionByName(centres.select("grp", "cell", "sub", "part", F.lit(False).alias("query"), "id", "entity", "x", "y"))
 
     def kernel(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         x, y, ids = (tab[c].to_numpy() for c in ("x", "y", "id"))
@@ -207,7 +253,7 @@ def near_pairs(points: DataFrame, radius: float, metric: Metric = planar, pivots
             right.append(ids[k[ok]])
         return pa.table({"id_1": np.concatenate(left), "id_2": np.concatenate(right)})
 
-    return per_group(both, ["grp", "cell", "part"], ["id"], kernel, "id_1 bigint, id_2 bigint")
+    return per_group(both, ["grp", "cell", "sub", "part"], ["id"], kernel, "id_1 bigint, id_2 bigint")
 
 
 def region_of(points: DataFrame, zones: DataFrame, metric: Metric = planar, pivots: int = PIVOTS) -> DataFrame:
@@ -221,10 +267,12 @@ def region_of(points: DataFrame, zones: DataFrame, metric: Metric = planar, pivo
     if not len(at):
         return points.select("tag", "qid", F.col("qid").alias("cid")).limit(0)
     queries = written(in_cells(points, "x", "y", None, at, metric), "cells")
-    queries, centres = _split(queries, in_cells(shapes, "cx", "cy", "r", at, metric), ["cell"])
+    hot = _hot_pivots(queries, ["cell"], "x", "y", pivots)
+    centres = _divided(in_cells(shapes, "cx", "cy", "r", at, metric), hot, "cx", "cy", "r", metric)
+    queries, centres = _split(_divided(queries, hot, "x", "y", None, metric), centres, ["cell", "sub"])
     empty = {"r": "double", "xs": "array<double>", "ys": "array<double>", "ends": "array<bigint>"}
-    left = queries.select("cell", "part", F.lit(True).alias("query"), "tag", F.col("qid").alias("id"), "x", "y", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-    right = centres.select("cell", "part", F.lit(False).alias("query"), F.lit("").alias("tag"), F.col("cid").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), *empty)
+    left = queries.select("cell", "sub", "part", F.lit(True).alias("query"), "tag", F.col("qid").alias("id"), "x", "y", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+    right = centres.select("cell", "sub", "part", F.lit(False).alias("query"), F.lit("").alias("tag"), F.col("cid").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), *empty)
 
     def kernel(tab: pa.Table, starts: np.ndarray) -> pa.Table:
         x, y, ids = (tab[c].to_numpy() for c in ("x", "y", "id"))
@@ -246,7 +294,7 @@ def region_of(points: DataFrame, zones: DataFrame, metric: Metric = planar, pivo
         q, c = np.concatenate(q_all), np.concatenate(c_all)
         return pa.table({"tag": tab["tag"].take(q), "qid": ids[q], "cid": ids[c]})
 
-    return per_group(left.unionByName(right), ["cell", "part"], ["query", "id"], kernel, "tag string, qid bigint, cid bigint")
+    return per_group(left.unionByName(right), ["cell", "sub", "part"], ["query", "id"], kernel, "tag string, qid bigint, cid bigint")
 
 
 def line_end(geometry: Column, last: bool) -> tuple[Column, Column]:

@@ -63,3 +63,24 @@ def test_hot_partition_is_copied_whole(spark):
         assert b.count() == 3 and a.count() == 30 and a.select("part").distinct().count() > 1
     finally:
         spatial.HOT = spatial_hot
+
+
+def test_hot_cells_are_divided_by_their_own_pivots(spark, monkeypatch):
+    """Points of one town, in degrees, within one cell: groups of queries become small, and no pair is lost."""
+    rng = np.random.default_rng(2)
+    n = 500
+    lon, lat = 11.0 + rng.uniform(0, 0.05, n), 43.0 + rng.uniform(0, 0.05, n)
+    df = spark.createDataFrame([(1, i, f"v{i % 40}", float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat))], "grp int, id bigint, entity string, x double, y double")
+    d = great_circle(lon[:, None], lat[:, None], lon[None], lat[None])
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 40 != j % 40 and d[i, j] <= 150}
+    monkeypatch.setattr(spatial, "HOT", 60)
+    assert {tuple(r) for r in near_pairs(df, 150.0, great_circle, pivots=2).collect()} == want and want
+    cells = spatial.in_cells(df.withColumn("r", F.lit(150.0)), "x", "y", "r", np.array([[0.0, 0.0]]), great_circle)
+    hot = spatial._hot_pivots(cells, ["grp", "cell"], "x", "y", 32)
+    parts = spatial._divided(cells, hot, "x", "y", None, great_circle).groupBy("cell", "sub").count().collect()
+    assert len(hot[0]) > 10 and len(parts) > 10 and max(p["count"] for p in parts) < 120 and sum(p["count"] for p in parts) == n
+    zones = spark.createDataFrame([(k, f"POLYGON (({11 + 0.01 * k} 43, {11.01 + 0.01 * k} 43, {11.01 + 0.01 * k} 43.05, {11 + 0.01 * k} 43.05, {11 + 0.01 * k} 43))") for k in range(5)], "id bigint, geometry string")
+    for hot_rows in (50_000, 60):
+        monkeypatch.setattr(spatial, "HOT", hot_rows)
+        got = {r.qid: r.cid for r in region_of(df.select(F.lit("t").alias("tag"), F.col("id").alias("qid"), "x", "y"), zones, pivots=2).collect()}
+        assert got == {i: int((a - 11) // 0.01) for i, a in enumerate(lon)}
