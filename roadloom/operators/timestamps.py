@@ -7,7 +7,6 @@ doesn't hold; rows get their instant by a join.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta, timezone
 from functools import lru_cache
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.session import shared_folder
+from roadloom.session import kernel_partitions, shared_folder
 
 #: Months by their first three letters, in English and Italian, and offsets in hours of zone names.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12, "gen": 1, "mag": 5, "giu": 6, "lug": 7, "ago": 8, "set": 9, "ott": 10, "dic": 12}
@@ -110,6 +109,8 @@ def instant(text: str | None, zone: str, default: str = "Europe/Rome") -> int |
     return (local.replace(tzinfo=timezone(off)) - EPOCH) // timedelta(microseconds=1)
 
 
+#: The version of the rules above: what other rules parsed is another dictionary.
+RULES = 1
 DICTIONARY = "raw string, zone string, epoch_us bigint"
 
 
@@ -130,22 +131,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def dictionary(rows: DataFrame, text: str, zone: str, path: str) -> DataFrame:
-    """The dictionary table at path, after the pairs of rows that it lacks have been parsed and appended to it."""
+    """The dictionary table at path, after the pairs of rows that it lacks have been parsed and appended to it.
+
+    A pair that two writers append at the same time comes out once. The parsing is dealt over all cores, as its cost
+    goes by the value and not by the byte.
+    """
     spark = rows.sparkSession
     pairs = rows.where(F.trim(text) != "").select(F.col(text).alias("raw"), F.coalesce(F.trim(zone), F.lit("")).alias("zone")).distinct()
-    if _exists(spark, path):
+    known = _exists(spark, path)
+    if known:
         pairs = pairs.join(spark.read.schema(DICTIONARY).parquet(path), ["raw", "zone"], "left_anti")
-    parsed(pairs).write.mode("append").parquet(path)
-    return spark.read.schema(DICTIONARY).parquet(path)
+    if not known or not pairs.isEmpty():
+        parsed(pairs.repartition(kernel_partitions(spark), "raw", "zone")).write.mode("append").parquet(path)
+    return spark.read.schema(DICTIONARY).parquet(path).groupBy("raw", "zone").agg(F.first("epoch_us").alias("epoch_us"))
 
 
 def with_instants(rows: DataFrame, text: str = "ts_text", zone: str = "tz_data", path: str | None = None) -> DataFrame:
     """rows with epoch_us, null where the text denotes no single instant (missing, unreadable, ambiguous).
 
-    The dictionary lies at path, to be used again, or in a new table of the shared folder. Null and blank texts need
-    no join; a text shared by a third of the rows is one row of the dictionary, and AQE splits its side of the join.
+    The dictionary lies at path, by default in the shared folder, where the next call, also of another session, finds
+    it again and parses only what is new. Null and blank texts need no join; a text shared by a third of the rows is
+    one row of the dictionary, and AQE splits its side of the join.
     """
-    path = path or f"{shared_folder(rows.sparkSession)}/roadloom-instants-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(rows.sparkSession)}/roadloom-instants-{RULES}"
     d = dictionary(rows, text, zone, path).where("epoch_us is not null")
     d = d.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("epoch_us").alias("__us"))
     return rows.join(d, (F.col(text) == F.col("__raw")) & (F.coalesce(F.trim(zone), F.lit("")) == F.col("__zone")), "left").select(rows["*"], F.col("__us").alias("epoch_us"))

@@ -37,3 +37,17 @@ def test_dictionary_grows_and_rows_stay(spark, tmp_path):
     more = spark.createDataFrame([("g", "1704110401", None), ("a", "1704110400", None)], "id string, ts_text string, tz_data string")
     assert dictionary(more, "ts_text", "tz_data", path).count() == 4
     assert with_instants(rows.limit(0), path=str(tmp_path / "other")).count() == 0
+
+
+def test_the_dictionary_is_used_again_and_two_writers_do_no_harm(spark, tmp_path):
+    path = str(tmp_path / "dictionary")
+    rows = spark.createDataFrame([("a", "1704110400", None), ("b", "nonsense", None)], "id_fcd string, ts_text string, tz_data string")
+    assert with_instants(rows, path=path).count() == 2
+    files = sorted(p.name for p in (tmp_path / "dictionary").iterdir())
+    assert with_instants(rows, path=path).count() == 2 and sorted(p.name for p in (tmp_path / "dictionary").iterdir()) == files  # nothing new, nothing written
+    spark.read.parquet(path).write.mode("append").parquet(path + "-copy")
+    spark.read.parquet(path + "-copy").write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 4 and with_instants(rows, path=path).count() == 2
+    wrong = spark.createDataFrame([("1704110400", "", 7)], "raw string, zone string, epoch_us bigint")
+    wrong.write.parquet(str(tmp_path / "given"))  # what the table holds isn't parsed again
+    assert {r.id_fcd: r.epoch_us for r in with_instants(rows, path=str(tmp_path / "given")).collect()} == {"a": 7, "b": None}
