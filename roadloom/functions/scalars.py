@@ -33,6 +33,32 @@ def slot(ts: Column, minutes: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_timestamp(ts.cast("timestamp")) / (minutes * 60)) * (minutes * 60)).cast("timestamp_ntz")
 
 
+def duration_seconds(text: Column, unit: float = 60.0) -> Column:
+    """Seconds of a length of time: '8:30' or '08:30:15' (hours first), a plain number (of `unit` seconds), or parts such
+    as '1h 30 min', '2 d', '45s', 'PT1H30M'; null where it is none of these."""
+    t = F.lower(F.trim(text))
+    part = lambda k: F.coalesce(F.try_element_at(F.split(t, ":"), F.lit(k)).try_cast("bigint"), F.lit(0))
+    clock = part(1) * 3600 + part(2) * 60 + part(3)
+    of = lambda units: F.coalesce(F.regexp_extract(t, f"(\\d+)\\s*(?:{units})(?![a-z])", 1).try_cast("bigint"), F.regexp_extract(t, f"(\\d+)\\s*(?:{units})(?=\\d)", 1).try_cast("bigint"), F.lit(0))
+    parts = of("d|days?") * 86_400 + of("h|hours?|ore") * 3600 + of("m|min|mins|minutes?") * 60 + of("s|sec|secs|seconds?")
+    shape = t.rlike("^p?t?(\\d+\\s*(d|days?|h|hours?|ore|m|min|mins|minutes?|s|sec|secs|seconds?)\\s*t?)+$")
+    return F.when(t.rlike("^\\d+:\\d{2}(:\\d{2})?$"), clock).when(t.rlike("^\\d+(\\.\\d+)?$"), F.floor(t.try_cast("double") * unit).cast("bigint")).when(shape, parts)
+
+
+def series(start: Column, stop: Column, step: Column, included: str = "both") -> Column:
+    """The array of start, start + step, ... up to stop, numbers or timestamps; `included` says which ends count:
+    both, left, right or neither."""
+    s = F.sequence(start, stop, step)
+    if included in ("right", "neither"):
+        s = F.filter(s, lambda v: v > start)
+    return F.filter(s, lambda v: v < stop) if included in ("left", "neither") else s
+
+
+def series_of(start: Column, stop: Column, n: int) -> Column:
+    """The array of n numbers from start to stop at even distances."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: start + (stop - start) * k / max(1, n - 1))
+
+
 def day_of_week(ts: Column) -> Column:
     """0 for Sunday to 6."""
     return F.dayofweek(ts) - 1

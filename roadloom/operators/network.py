@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,6 +85,31 @@ def checks(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return dangling.select(F.lit("dangling").alias("check"), "n").unionByName(flat.select(F.stack(F.lit(2), F.lit("no_length"), "length", F.lit("no_speed"), "v0").alias("check", "n")))
 
 
+def turn_checks(turns: DataFrame, links: DataFrame, zones: DataFrame) -> DataFrame:
+    """(check, n): turns (from_node, via_node, to_node) with a node that no link has (a null too), and zones that are no node."""
+    nodes = links.select(F.explode(F.array("from_node", "to_node")).alias("id")).distinct()
+    named = turns.withColumn("turn", F.struct("from_node", "via_node", "to_node")).select("turn", F.explode(F.array("from_node", "via_node", "to_node")).alias("id"))
+    lost = named.join(nodes, "id", "left_anti").select("turn").distinct()
+    bad = turns.withColumn("turn", F.struct("from_node", "via_node", "to_node")).join(lost, "turn", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    alone = zones.join(nodes, "id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    return bad.select(F.lit("turn_nodes").alias("check"), "n").unionByName(alone.select(F.lit("zones_without_node").alias("check"), "n"))
+
+
+def static_results(results: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Flow, mean speed, density (flow over speed) and saturation (flow over capacity) of links by keys such as time and
+    mode; null where divided by 0. results has flow and avg_speed."""
+    g = results.groupBy(*keys).agg(F.sum("flow").alias("flow"), F.avg("avg_speed").alias("speed"))
+    g = g.join(links.select(F.col("id").alias("id_link"), F.col("capacity").cast("double").alias("capacity")), "id_link")
+    return g.withColumns({"density": F.try_divide("flow", "speed"), "saturation": F.try_divide("flow", "capacity")})
+
+
+def with_node_minutes(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Turns (in_link, out_link, via, penalty) that also take the minutes of the node passed (id, minutes); a node
+    without minutes takes none."""
+    n = nodes.select(F.col("id").alias("via"), F.col("minutes").alias("__node"))
+    return turns.join(n, "via", "left").withColumn("penalty", F.col("penalty") + F.coalesce("__node", F.lit(0.0))).drop("__node")
+
+
 def set_links(sets: DataFrame) -> DataFrame:
     return sets.groupBy("id_set").agg(F.array_sort(F.collect_set("id_link")).alias("links"))
 

@@ -89,3 +89,8 @@ def within_box(df: DataFrame, keys: Sequence[str], columns: Sequence[str], low:
         lo, hi = F.col(f"__{c}")[0], F.col(f"__{c}")[1]
         j = j.where((F.col(c) >= lo - reach * (hi - lo)) & (F.col(c) <= hi + reach * (hi - lo)))
     return j.drop(*[f"__{c}" for c in columns])
+
+
+def repetitions(paths: DataFrame, keys: Sequence[str], links: str, order: Sequence[str]) -> DataFrame:
+    """Adds `repetition`: of rows with the same keys and links the first has 0, the next 1, and so on, in `order`."""
+    return paths.withColumn("repetition", F.row_number().over(W.partitionBy(*keys, links).orderBy(*order)) - 1)
