@@ -22,6 +22,12 @@ def loaded(links: DataFrame, flows: DataFrame, vdf: Vdf = bpr) -> DataFrame:
     return links.drop("flow").join(f, "id", "left").withColumn("flow", F.coalesce("flow", F.lit(0.0))).withColumn("minutes", vdf(F.col("t0"), F.col("flow"), F.col("capacity").cast("double")))
 
 
+def expanded(od: DataFrame, total: float) -> DataFrame:
+    """Demand raised or lowered alike so that it adds up to a total, as a survey's is to a count; empty stays empty."""
+    whole = od.agg(F.sum("demand").alias("__all"))  # one row
+    return od.crossJoin(whole).withColumn("demand", F.try_divide(F.col("demand") * total, F.col("__all"))).drop("__all")
+
+
 def assigned(od: DataFrame, links: DataFrame, turns: DataFrame, iterations: int = 6, k: int = 3, max_gap: float = 0.01, vdf: Vdf = bpr) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Paths with flows, loaded links and statistics by iteration, of od (source, target, demand) on links (id,
     from_node, to_node, t0, capacity).

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.session import written
+from roadloom.operators.sequences import per_group, spans
+from roadloom.session import discarded, written
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -28,6 +30,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         new = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = written(new, "edges")
         change = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        discarded(e)
         e = new
         if change:
             break
@@ -53,20 +56,27 @@ def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
 
 def path_clusters(paths: DataFrame, eps: float = 100.0) -> DataFrame:
     """(source, target, cluster, id, tot_cost, mean_cost, n, k): clusters of the paths (source, target, id, tot_cost,
-    xy array<struct<x,y>>) of each pair, joined where two are at most eps apart, with the cheapest as representative.
+    xy array<struct<x,y>>) of each pair, joined where two are at most eps apart; the cheapest is the representative
+    (its id also names the cluster), and k ranks a pair's clusters by it.
 
-    Paths of one shape are one vertex with a count (aggregated first), so a group has as many rows as a pair has
-    different shapes, however many trips took them. Boxes further apart than eps are passed over, and members of one
-    cluster aren't compared with each other again. Null or empty shapes are left out.
+    Paths of one shape are one vertex with a count (aggregated first). Lines at most eps apart have boxes whose corners
+    are at most eps apart, so a shape is compared with those of its corner's cell and the cells round it: a busy pair is
+    spread over tasks, and a task sends out at most one edge a shape, as members of one cluster aren't compared again.
+    The components of these edges are the clusters. Null or empty shapes are left out.
     """
-    shape = F.transform("xy", lambda p: F.array(p["x"], p["y"]))
-    same = paths.where("xy is not null and size(xy) > 0").withColumn("shape", F.flatten(shape)).groupBy("source", "target", "shape").agg(F.min(F.struct("tot_cost", "id")).alias("best"), F.sum("tot_cost").alias("total"), F.count(F.lit(1)).alias("n"))
-    flat = same.select("source", "target", "shape", F.col("best.id").alias("id"), F.col("best.tot_cost").alias("tot_cost"), "total", "n")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tot_cost", "id"], kind="stable").reset_index(drop=True)
-        lines = [np.asarray(s, float).reshape(-1, 2) for s in pdf["shape"]]
-        box = np.array([[*v.min(0), *v.max(0)] for v in lines])
+    shape = F.flatten(F.transform("xy", lambda p: F.array(p["x"], p["y"])))
+    same = paths.where("xy is not null and size(xy) > 0").withColumn("shape", shape).groupBy("source", "target", "shape").agg(F.min(F.struct("tot_cost", "id")).alias("best"), F.sum("tot_cost").alias("total"), F.count(F.lit(1)).alias("n"))
+    low = lambda odd: F.array_min(F.filter("shape", lambda v, i: i % 2 == odd))
+    same = written(same.select("source", "target", F.xxhash64("source", "target", "shape").alias("vertex"), "best", "total", "n", "shape", F.floor(low(0) / eps).alias("cx"), F.floor(low(1) / eps).alias("cy")), "shapes")
+    round_it = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = same.select("source", "target", "cx", "cy", "vertex", "shape", round_it.alias("d")).select("source", "target", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), ((F.col("d.i") == 0) & (F.col("d.j") == 0)).alias("own"), "vertex", "shape")
+
+    def kernel(tab: pa.Table, starts: np.ndarray) -> pa.Table:
+        vertex, own = tab["vertex"].to_numpy(), tab["own"].to_numpy()
+        column = tab["shape"].combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        lines = [flat[a:b].reshape(-1, 2) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        box = np.array([[*v.min(0), *v.max(0)] for v in lines]).reshape(-1, 4)
         root = np.arange(len(lines))
 
         def top(i: int) -> int:
@@ -75,16 +85,18 @@ def path_clusters(paths: DataFrame, eps: float = 100.0) -> DataFrame:
                 i = root[i]
             return i
 
-        for i in range(1, len(lines)):
-            for j in np.flatnonzero((np.abs(box[:i] - box[i]) <= eps).all(1)):
-                a, b = top(i), top(int(j))
-                if a != b and hausdorff(lines[i], lines[j]) <= eps:
-                    root[max(a, b)] = min(a, b)
-        pdf["cluster"] = [top(i) for i in range(len(lines))]
-        g = pdf.groupby("cluster", sort=True)
-        out = g.agg(source=("source", "first"), target=("target", "first"), id=("id", "first"), tot_cost=("tot_cost", "first"), total=("total", "sum"), n=("n", "sum")).reset_index()
-        out["mean_cost"] = out.total / out.n
-        out["k"] = np.arange(len(out))
-        return out[["source", "target", "cluster", "id", "tot_cost", "mean_cost", "n", "k"]]
-
-    return flat.groupBy("source", "target").applyInPandas(group, "source bigint, target bigint, cluster bigint, id bigint, tot_cost double, mean_cost double, n bigint, k bigint")
+        for a, b in spans(starts, len(lines)):
+            for i in a + np.flatnonzero(own[a:b]):
+                for j in a + np.flatnonzero((np.abs(box[a:b] - box[i]) <= eps).all(1)):
+                    x, y = top(int(i)), top(int(j))
+                    if x != y and hausdorff(lines[i], lines[j]) <= eps:
+                        root[max(x, y)] = min(x, y)
+        to = np.array([top(i) for i in range(len(lines))], int)
+        use = own | (to != np.arange(len(lines)))
+        return pa.table({"a": vertex[use], "b": vertex[to[use]]})
+
+    edges = per_group(near, ["source", "target", "cx", "cy"], ["vertex"], kernel, "a bigint, b bigint")
+    of = components(edges).select(F.col("id").alias("vertex"), "component")
+    g = same.drop("shape").join(of, "vertex").groupBy("source", "target", "component").agg(F.min("best").alias("b"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rank = F.row_number().over(W.partitionBy("source", "target").orderBy("b.tot_cost", "b.id")) - 1
+    return g.select("source", "target", F.col("b.id").alias("cluster"), F.col("b.id").alias("id"), F.col("b.tot_cost").alias("tot_cost"), (F.col("total") / F.col("n")).alias("mean_cost"), "n", rank.cast("bigint").alias("k"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.session import discarded, kernel_partitions, written
+from roadloom.session import collected, discarded, kernel_partitions, written
 
 #: Links of a graph that tasks may be given whole; a larger one is relaxed by joins instead.
 MAX_LINKS = 2_000_000
@@ -41,17 +41,17 @@ class Graph:
 def graph(links: DataFrame, turns: DataFrame, slice_minutes: float = 15.0) -> Graph:
     """links: (id, from_node, to_node, minutes array<double>); turns: (in_link, out_link, penalty), infinite = forbidden.
 
-    The size is checked before the links are brought to the driver.
+    Links and turns are brought to the driver only after their size in bytes has been checked (slices multiply it).
     """
     n = links.count()
     if n > MAX_LINKS:
         raise ValueError(f"{n} links are more than tasks may be given ({MAX_LINKS}); use relaxed_costs")
-    rows = sorted(links.select("id", "from_node", "to_node", "minutes").collect())
+    rows = sorted(collected(links.select("id", "from_node", "to_node", "minutes"), "links", F.size("minutes")))
     ids = np.array([r[0] for r in rows], np.int64)
     at = {int(i): k for k, i in enumerate(ids)}
     width = max((len(r[3]) for r in rows), default=1)
     minutes = np.array([[*r[3], *[r[3][-1]] * (width - len(r[3]))] for r in rows], float).reshape(len(rows), width)
-    pairs = sorted((at[r[0]], at[r[1]], r[2]) for r in turns.where("penalty < double('infinity')").select("in_link", "out_link", "penalty").collect() if r[0] in at and r[1] in at)
+    pairs = sorted((at[r[0]], at[r[1]], r[2]) for r in collected(turns.where("penalty < double('infinity')").select("in_link", "out_link", "penalty"), "turns") if r[0] in at and r[1] in at)
     first = np.searchsorted([p[0] for p in pairs], np.arange(len(rows) + 1))
     by_tail: dict[int, list[int]] = {}
     for k, r in enumerate(rows):

@@ -15,11 +15,12 @@ from roadloom.operators import clusters as C
 from roadloom.operators import network as N
 from roadloom.operators import paths as T
 from roadloom.operators import simulate as V
+from roadloom.operators.delivery import first_delivery
 from roadloom.operators.fcd_trips import build_trips
 from roadloom.operators.matching import nearest_link
 from roadloom.operators.reconstruct import rebuilt
 from roadloom.operators.spatial import regions
-from roadloom.session import shared_folder, table, written
+from roadloom.session import collected, shared_folder, table, written
 from roadloom.streaming import fcd as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +86,9 @@ def timed_path_costs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _assigned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """The demand expanded to an hour in which the network is congested, so that flows are averaged after k paths."""
     links, turns = _network(s, d)
-    return A.assigned(_node_demand(s, d), links, turns)
+    return A.assigned(A.expanded(_node_demand(s, d), 200_000.0), links, turns)
 
 
 @query()
@@ -131,16 +133,23 @@ def od_estimate(s: SparkSession, d: str) -> DataFrame:
 def trip_paths(s: SparkSession, d: str) -> DataFrame:
     """Links that the trips of the trips table took, by their lines."""
     links, turns = _network(s, d)
-    shapes = {r[0]: np.array([(p.x, p.y) for p in r[1]]) for r in table(s, d, "links").select("id", N.vertices(F.col("geometry")).alias("v")).collect() if r[1]}  # a network's links, counted by graph()
-    g = T.graph(links.where(F.col("id").isin(list(shapes))).withColumn("minutes", F.array("minutes")) if len(shapes) < links.count() else links.withColumn("minutes", F.array("minutes")), turns)
-    t = table(s, d, "trips").select("id_trip", N.vertices(F.col("geometry")).alias("xy")).dropDuplicates(["id_trip"])
-    return rebuilt(t, g, shapes, 1500.0)
+    shaped = table(s, d, "links").select("id", N.vertices(F.col("geometry")).alias("v")).where(F.size("v") > 0)
+    g = T.graph(links.join(shaped.select("id"), "id", "left_semi").withColumn("minutes", F.array("minutes")), turns)
+    shapes = {r[0]: np.array([(p.x, p.y) for p in r[1]]) for r in collected(shaped, "shapes of links", 2 * F.size("v"))}
+    t = table(s, d, "trips").select("id_trip", "loaded_at", N.vertices(F.col("geometry")).alias("xy"))
+    return rebuilt(first_delivery(t, F.col("id_trip"), "loaded_at", ["xy"], "id_trip"), g, shapes, 1500.0)
 
 
-@query("SELECT id_trip, hash_n AS n_vertices FROM (SELECT id_trip, any_value(len(regexp_extract_all(regexp_extract(geometry, '[(\\[].*'), '-?\\d+(?:\\.\\d+)?')) // 2) AS hash_n FROM trips GROUP BY 1)")
+@query(r"""WITH t AS (SELECT id_trip, regexp_extract_all(regexp_extract(geometry, '[(\[].*'), '-?\d+(?:\.\d+)?') AS n FROM trips WHERE id_trip IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_trip ORDER BY loaded_at, geometry) = 1)
+SELECT id_trip, CAST(len(n) // 2 AS BIGINT) AS n_vertices, round(list_sum(list_transform(generate_series(1, len(n) // 2), lambda i: CAST(n[2*i-1] AS DOUBLE) * i)), 2) AS sum_x, round(list_sum(list_transform(generate_series(1, len(n) // 2), lambda i: CAST(n[2*i] AS DOUBLE) * i)), 2) AS sum_y FROM t""")
 def wkb_round_trip(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "trips").select("id_trip", N.vertices(F.col("geometry")).alias("xy")).dropDuplicates(["id_trip"])
-    return t.select("id_trip", decode(encode_line("xy")).alias("g")).select("id_trip", F.size(F.col("g.parts")[0]).cast("bigint").alias("n_vertices"))
+    """Vertices of each trip's line after writing it as WKB and reading that: their number, and coordinates weighted by
+    position."""
+    t = table(s, d, "trips").select("id_trip", "loaded_at", N.vertices(F.col("geometry")).alias("xy"))
+    one = first_delivery(t, F.col("id_trip"), "loaded_at", ["xy"], "id_trip").select("id_trip", decode(encode_line("xy")).alias("g"))
+    p = F.col("g.parts")[0]
+    total = lambda c: F.round(F.aggregate(F.transform(p, lambda v, i: v[c] * (i + 1)), F.lit(0.0), lambda a, b: a + b), 2)
+    return one.select("id_trip", F.size(p).cast("bigint").alias("n_vertices"), total("x").alias("sum_x"), total("y").alias("sum_y"))
 
 
 @query()
@@ -162,20 +171,20 @@ def components(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def path_clusters(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "trips").where("id_zone_o is not null and id_zone_d is not null").dropDuplicates(["id_trip"])
+    t = first_delivery(table(s, d, "trips"), F.col("id_trip"), "loaded_at", ["id_zone_o", "id_zone_d", "tt", "geometry"], "id_trip").where("id_zone_o is not null and id_zone_d is not null")
     p = t.select(F.col("id_zone_o").alias("source"), F.col("id_zone_d").alias("target"), F.col("id_trip").alias("id"), F.col("tt").alias("tot_cost"), N.vertices(F.col("geometry")).alias("xy"))
     return C.path_clusters(p, 1500.0)
 
 
 @query()
 def vehicle_loading(s: SparkSession, d: str) -> DataFrame:
-    rows = sorted(N.built(table(s, d, "links")).select("id", "length", "v0", "capacity", "lanes", "alpha", "rcr").collect())  # a network's links: bounded
+    rows = sorted(collected(N.built(table(s, d, "links")).select("id", "length", "v0", "capacity", "lanes", "alpha", "rcr"), "links"))
     a = np.array([r[1:] for r in rows], float)
     net = V.Network([r[0] for r in rows], *a.T)
     links, turns = _network(s, d)
     od = _node_demand(s, d)
     g = T.graph(links.withColumn("minutes", F.array("minutes")), turns)
-    paths = T.shortest_paths(T.tasks_of(s, od.withColumn("t_start", F.lit(0.0))), g).join(od, ["source", "target"]).select("links", "demand").collect()  # a scenario's pairs of zones
+    paths = collected(T.shortest_paths(T.tasks_of(s, od.withColumn("t_start", F.lit(0.0))), g).join(od, ["source", "target"]).select("links", "demand"), "paths", F.size("links"))
     flows = sorted(([r[0]], [1.0], [r[1] / 4] * 2) for r in paths)
     return V.simulated(net, flows, s.range(2).select(F.col("id").alias("seed")), 60.0)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -60,6 +61,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that an operator may bring to the driver and broadcast; what is more is refused before it is collected.
+MOST_BYTES = 1_000_000_000
+
+
+def collected(df: DataFrame, what: str, cells: Column | None = None) -> list[Row]:
+    """The rows of df, after their size has been checked: 100 bytes a row and 16 for each of its `cells` (array entries)."""
+    size = df.agg(F.sum(F.lit(100) + 16 * (cells if cells is not None else F.lit(len(df.columns))))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{what}: about {size} bytes are more than tasks may be given ({MOST_BYTES})")
+    return df.collect()
+
+
 def discarded(df: DataFrame) -> None:
     """Deletes a written table that nothing reads any more, so that many rounds don't fill the shared folder."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
