@@ -8,6 +8,7 @@ space left and into new containers. Items then find their place by their rank wi
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -48,12 +49,13 @@ def combinations(classes: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
-def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that makes |a x - b| least, by active sets (Lawson and Hanson)."""
+def least_squares(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """x >= 0 that makes |a x - b| least, by active sets (Lawson and Hanson). Ending before that, after `rounds` (three
+    a column unless given), is reported; the x so far still plans whole containers."""
     x = np.zeros(a.shape[1])
     active: list[int] = []
     small = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
-    for _ in range(rounds):
+    for _ in range(3 * a.shape[1] if rounds is None else rounds):
         slope = a.T @ (b - a @ x)
         slope[active] = 0
         k = int(slope.argmax())
@@ -74,6 +76,8 @@ def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray
             x[active] = np.maximum(now, 0)
             active = [i for i in active if x[i] > 1e-12]
             x[[i for i in range(len(x)) if x[i] <= 1e-12]] = 0
+    else:
+        warnings.warn("least squares ended before the least was reached", RuntimeWarning, stacklevel=2)
     return x
 
 

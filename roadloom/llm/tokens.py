@@ -78,11 +78,11 @@ def model(path: str = VOCABULARY) -> bytes:
 class Encoder:
     """encode(text) -> array('i') of ids, decode(ids) -> text. Null and empty texts have no ids."""
 
-    def __init__(self, path: str = VOCABULARY) -> None:
+    def __init__(self, vocabulary: str | bytes = VOCABULARY) -> None:
         import regex
         import sentencepiece
 
-        self._sp = sentencepiece.SentencePieceProcessor(model_proto=model(path))
+        self._sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary if isinstance(vocabulary, bytes) else model(vocabulary))
         self._pre = regex.compile(PATTERN).findall
         self._signs = dict(enumerate(byte_signs()))
         self._bytes = {s: b for b, s in self._signs.items()}
@@ -149,22 +149,24 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """One encoder a Python worker."""
-    return Encoder(path)
+def encoder(vocabulary: str | bytes = VOCABULARY) -> Encoder:
+    """One encoder a Python worker, of a vocabulary's path or of its serialised model."""
+    return Encoder(vocabulary)
 
 
 def encoded(docs: DataFrame, text: str = "text", path: str = VOCABULARY, ids: str = "ids") -> DataFrame:
     """docs without `text`, with `ids` (array of int): the empty list for an empty and for a null text.
 
     One pass without a shuffle; a text is encoded whole, however long. Strings that look like special tokens are
-    ordinary text. Other columns pass through; a column already named `ids` is replaced.
+    ordinary text. Other columns pass through; a column already named `ids` is replaced. The driver reads the vocabulary
+    and sends its model (a megabyte or two) with the job: executors need no file.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model(path))
     slim = docs.select(*[c for c in docs.columns if c not in (text, ids)], F.col(text).alias("__text"))
     schema = slim.drop("__text").withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(shared.value)
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
@@ -181,11 +183,12 @@ def encoded(docs: DataFrame, text: str = "text", path: str = VOCABULARY, ids: st
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, size: str = "n_tokens") -> DataFrame:
     """docs without `text`, with the number of its tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(model(path))
     slim = docs.select(*[c for c in docs.columns if c not in (text, size)], F.col(text).alias("__text"))
     schema = slim.drop("__text").withColumn(size, F.lit(None).cast("bigint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(shared.value).encode
         for b in batches:
             n = [len(encode(t)) for t in b.column("__text").to_pylist()]
             yield b.select([c for c in b.schema.names if c != "__text"]).append_column(size, pa.array(n, pa.int64()))
