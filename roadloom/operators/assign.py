@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import bpr
 from roadloom.operators.network import path_flows
-from roadloom.operators.paths import graph, path_costs, shortest_paths, tasks_of
+from roadloom.operators.paths import path_costs, paths_between, tasks_of
 from roadloom.session import discarded, written
 
 Vdf = Callable[[Column, Column, Column], Column]
@@ -44,8 +44,7 @@ def assigned(od: DataFrame, links: DataFrame, turns: DataFrame, iterations: int
     stats: list[dict] = []
     for i in range(iterations):
         if i < k:
-            g = graph(links.withColumn("minutes", F.array("minutes")), turns)
-            new = shortest_paths(tasks, g).select("source", "target", F.lit(i).alias("k"), "links")
+            new = paths_between(tasks, links.withColumn("minutes", F.array("minutes")), turns).select("source", "target", F.lit(i).alias("k"), "links")
             paths = new if paths is None else paths.select("source", "target", "k", "links").unionByName(new)
             paths = paths.join(od, ["source", "target"]).withColumn("path_flow", F.col("demand") / (i + 1))
         else:

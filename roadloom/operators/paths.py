@@ -45,7 +45,7 @@ def graph(links: DataFrame, turns: DataFrame, slice_minutes: float = 15.0) -> Gr
     """
     n = links.count()
     if n > MAX_LINKS:
-        raise ValueError(f"{n} links are more than tasks may be given ({MAX_LINKS}); use relaxed_costs")
+        raise ValueError(f"{n} links are more than tasks may be given ({MAX_LINKS}); use relaxed_paths")
     rows = sorted(collected(links.select("id", "from_node", "to_node", "minutes"), "links", F.size("minutes")))
     ids = np.array([r[0] for r in rows], np.int64)
     at = {int(i): k for k, i in enumerate(ids)}
@@ -148,6 +148,55 @@ def relaxed_costs(links: DataFrame, turns: DataFrame, sources: DataFrame, within
     raise RuntimeError("costs still improve after the last round")
 
 
+def relaxed_paths(tasks: DataFrame, links: DataFrame, turns: DataFrame, slice_minutes: float = 15.0, rounds: int = 100_000) -> DataFrame:
+    """The paths of shortest_paths (tasks with source, targets, t_start; links with minutes by slice), by joins, for
+    graphs too large for one task; of paths that cost the same it may find another.
+
+    Labels of links, each with the link before it, are extended round by round as in relaxed_costs, the minutes looked
+    up at the label's own time. Then all paths are walked back together, one link a round.
+    """
+    at = lambda t: F.get("minutes", F.least(F.floor((F.col("t_start") + t) / slice_minutes).cast("int"), F.size("minutes") - 1))
+    key = ["source", "t_start", "id_link"]
+    tasks = tasks.select("source", "targets", F.col("t_start").cast("double").alias("t_start"))
+    edges = turns.where("penalty < double('infinity')").join(links.select(F.col("id").alias("out_link"), "minutes"), "out_link")
+    edges = written(edges.select("in_link", "out_link", "penalty", "minutes"), "edges")
+    first = tasks.select("source", "t_start").distinct().join(links, F.col("source") == F.col("from_node"))
+    labels = written(first.select("source", "t_start", F.col("id").alias("id_link"), at(F.lit(0.0)).alias("cost"), F.lit(None).cast("bigint").alias("before")), "labels")
+    fresh = labels
+    for _ in range(rounds):
+        way = F.col("cost") + F.col("penalty")
+        step = fresh.join(edges, F.col("id_link") == F.col("in_link")).select("source", "t_start", F.col("out_link").alias("id_link"), F.struct((way + at(way)).alias("cost"), "in_link").alias("s"))
+        step = step.groupBy(*key).agg(F.min("s").alias("s"))
+        better = F.coalesce(F.col("s.cost") < F.col("cost") - 1e-12, F.col("s").isNotNull())
+        both = labels.join(step, key, "full").withColumn("better", better)
+        new = written(both.select(*key, F.when(F.col("better"), F.col("s.cost")).otherwise(F.col("cost")).alias("cost"), F.when(F.col("better"), F.col("s.in_link")).otherwise(F.col("before")).alias("before"), "better"), "labels")
+        discarded(labels)
+        labels, fresh = new.drop("better"), new.where("better").drop("better")
+        if fresh.isEmpty():
+            break
+    else:
+        raise RuntimeError("costs still improve after the last round")
+    wanted = tasks.select("source", "t_start", F.explode("targets").alias("target")).where("source <> target").distinct()
+    ends = wanted.join(links.select(F.col("id").alias("id_link"), F.col("to_node").alias("target")), "target").join(labels, key)
+    now = ends.groupBy("source", "target", "t_start").agg(F.min(F.struct("cost", "id_link")).alias("e")).select("source", "target", "t_start", F.col("e.id_link").alias("id_link"), F.lit(0).alias("back"))
+    parts = []
+    for k in range(rounds):
+        parts.append(written(now.join(labels, key), "path-links"))
+        now = parts[-1].where("before is not null").select("source", "target", "t_start", F.col("before").alias("id_link"), F.lit(k + 1).alias("back"))
+        if now.isEmpty():
+            break
+    every = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()]) if any(p.inputFiles() for p in parts) else parts[0]
+    g = every.groupBy("source", "target", "t_start").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("k"), "id_link", "cost"))).alias("p"))  # one path's links
+    return g.select("source", "target", "t_start", F.element_at("p.cost", -1).alias("tot_cost"), F.col("p.id_link").alias("links"), F.col("p.cost").alias("costs"))
+
+
+def paths_between(tasks: DataFrame, links: DataFrame, turns: DataFrame, slice_minutes: float = 15.0) -> DataFrame:
+    """Shortest paths on a network of any size: by searches on a broadcast graph where it is small enough, else by joins."""
+    if links.count() <= MAX_LINKS:
+        return shortest_paths(tasks, graph(links, turns, slice_minutes))
+    return relaxed_paths(tasks, links, turns, slice_minutes)
+
+
 def path_costs(paths: DataFrame, links: DataFrame, key: str = "path") -> DataFrame:
     """Minutes of each path by constant link minutes, and its links: (path, tot_cost, n_links)."""
     e = paths.select(key, F.explode("links").alias("id")).join(links.select("id", "minutes"), "id")

@@ -94,3 +94,40 @@ def within_box(df: DataFrame, keys: Sequence[str], columns: Sequence[str], low:
 def repetitions(paths: DataFrame, keys: Sequence[str], links: str, order: Sequence[str]) -> DataFrame:
     """Adds `repetition`: of rows with the same keys and links the first has 0, the next 1, and so on, in `order`."""
     return paths.withColumn("repetition", F.row_number().over(W.partitionBy(*keys, links).orderBy(*order)) - 1)
+
+
+def _of_block(rows: DataFrame, ends: DataFrame, of: Sequence[str]) -> DataFrame:
+    """Rows with their block's summary; equal nulls belong together, as they do in a window."""
+    named = ends.withColumnsRenamed({c: f"__of_{c}" for c in of})
+    on = [rows[c].eqNullSafe(named[f"__of_{c}"]) for c in of]
+    return rows.join(named, on).drop(*[f"__of_{c}" for c in of])
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column) -> DataFrame:
+    """Adds previous_c and next_c of the columns: the values in the row before and after of the same key.
+
+    A key's rows are cut into blocks (`block` must not fall along the order), so a hot key is spread over tasks; over
+    the blocks' edges one summary row a block gives the neighbour. Nulls at a key's ends.
+    """
+    of = [*keys, "__block"]
+    rows = df.withColumn("__block", block)
+    w, both = W.partitionBy(*of).orderBy(*order), F.struct(*columns)
+    ends = rows.groupBy(*of).agg(F.min_by(both, F.struct(*order)).alias("__a"), F.max_by(both, F.struct(*order)).alias("__z"))
+    along = W.partitionBy(*keys).orderBy("__block")  # one row a block
+    ends = ends.select(*of, F.lag("__z").over(along).alias("__before"), F.lead("__a").over(along).alias("__after"))
+    near = rows.withColumns({"__p": F.lag(both).over(w), "__n": F.lead(both).over(w)})
+    near = _of_block(near, ends, of)
+    found = {f"previous_{c}": F.coalesce("__p", "__before")[c] for c in columns} | {f"next_{c}": F.coalesce("__n", "__after")[c] for c in columns}
+    return near.withColumns(found).drop("__p", "__n", "__before", "__after", "__block")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, block: Column, name: str = "session") -> DataFrame:
+    """Numbers the sessions of a key from 1, as `sessions` does, but by blocks: a running count within each, and on top
+    of it the starts of the blocks before, from one summary row a block. `starts` must hold in a key's first row."""
+    of = [*keys, "__block"]
+    rows = df.withColumns({"__block": block, "__new": F.coalesce(starts, F.lit(False)).cast("int")})
+    so_far = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    base = rows.groupBy(*of).agg(F.sum("__new").alias("__n")).select(*of, F.coalesce(F.sum("__n").over(so_far), F.lit(0)).alias("__base"))
+    own = F.sum("__new").over(W.partitionBy(*of).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("__own", own)
+    return _of_block(rows, base, of).withColumn(name, F.col("__base") + F.col("__own")).drop("__own", "__base", "__new", "__block")

@@ -177,9 +177,9 @@ def overlay_combine_first(s: SparkSession, d: str) -> DataFrame:
 FROM (SELECT DISTINCT id_trip, id_veh, dt_o FROM trips) WINDOW w AS (PARTITION BY id_veh ORDER BY dt_o, id_trip)""")
 def trips_prev_next(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "trips").select("id_trip", "id_veh", "dt_o").distinct()
-    w = S.order_of(["id_veh"], ["dt_o", "id_trip"])
-    g = S.gaps(t, ["id_veh"], ["dt_o", "id_trip"], "dt_o").withColumns({"before": F.lag("id_trip").over(w), "after": F.lead("id_trip").over(w)})
-    return g.select("id_trip", "id_veh", "before", "after", F.round("p_before", 3).alias("p_before"), F.round("p_after", 3).alias("p_after"))
+    g = S.neighbours(t, ["id_veh"], ["dt_o", "id_trip"], ["id_trip", "dt_o"], F.date_trunc("month", "dt_o"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return g.select("id_trip", "id_veh", F.col("previous_id_trip").alias("before"), F.col("next_id_trip").alias("after"), F.round(seconds("dt_o") - seconds("previous_dt_o"), 3).alias("p_before"), F.round(seconds("next_dt_o") - seconds("dt_o"), 3).alias("p_after"))
 
 
 _PINGS = r"""c AS (SELECT try_cast(try_cast(trim(id_fcd) AS DECIMAL(38,6)) AS BIGINT) AS id, *, regexp_extract_all(coalesce(regexp_extract(geometry, '[(\[][^(\[]*$'), ''), '-?\d+(?:\.\d+)?') AS g FROM fcd),
@@ -191,12 +191,14 @@ p AS (SELECT * FROM (SELECT id, id_veh, ts, engine, CASE WHEN geometry IS NULL T
 n AS (SELECT *, count(*) FILTER (WHERE dt IS NULL OR dt > 900 OR engine = 0) OVER (PARTITION BY id_veh ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s)
 SELECT id_veh, session, count(*) AS n, min(ts) AS started, max(ts) AS ended, round(sum(CASE WHEN dt <= 900 AND engine IS DISTINCT FROM 0 THEN step ELSE 0 END), 3) AS metres FROM n GROUP BY ALL""")
 def sessions_gap(s: SparkSession, d: str) -> DataFrame:
-    p = first_pings(table(s, d, "fcd"))
-    key, order = ["id_veh"], ["ts", "id"]
-    g = S.odometer(S.gaps(p, key, order, "ts"), key, order)
-    new = (F.col("p_before") > 900) | (F.col("engine") == 0)
-    g = S.sessions(g, key, order, new).withColumn("step", F.when((F.col("p_before") <= 900) & ~F.col("engine").eqNullSafe(F.lit(0)), F.col("step")).otherwise(0.0))
-    return g.groupBy("id_veh", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.round(F.sum("step"), 3).alias("metres"))
+    """Sessions by silence and ignition; a vehicle's days are blocks, so a hot vehicle is spread over tasks."""
+    key, order, day = ["id_veh"], ["ts", "id"], F.to_date("ts")
+    p = S.neighbours(first_pings(table(s, d, "fcd")), key, order, ["ts", "x", "y"], day)
+    wait = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("previous_ts").cast("timestamp"))) / 1e6
+    on = F.col("engine").eqNullSafe(F.lit(0))
+    g = S.numbered(p, key, order, F.col("previous_ts").isNull() | (wait > 900) | on, day)
+    step = F.when((wait <= 900) & ~on, F.hypot(F.col("x") - F.col("previous_x"), F.col("y") - F.col("previous_y"))).otherwise(0.0)
+    return g.groupBy("id_veh", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.round(F.sum(step), 3).alias("metres"))
 
 
 _SLOTS = """v AS (SELECT id_link, strftime(slot_ts, '%Y-%m-%d') AS day, CAST(hour(slot_ts) * 60 + minute(slot_ts) AS INT) AS minute, avg(avg_speed) AS speed FROM aggregated_results GROUP BY ALL),

@@ -58,9 +58,8 @@ def _node_demand(s: SparkSession, d: str) -> DataFrame:
 @query()
 def shortest_paths(s: SparkSession, d: str) -> DataFrame:
     links, turns = _network(s, d)
-    g = T.graph(links.withColumn("minutes", F.array("minutes", F.col("minutes") * 1.5, "minutes")), turns)
     tasks = T.tasks_of(s, _node_demand(s, d).withColumn("t_start", F.explode(F.array(F.lit(0.0), F.lit(14.0)))))
-    return T.shortest_paths(tasks, g)
+    return T.paths_between(tasks, links.withColumn("minutes", F.array("minutes", F.col("minutes") * 1.5, "minutes")), turns)
 
 
 @query()
@@ -108,9 +107,8 @@ def static_loading(s: SparkSession, d: str) -> DataFrame:
 
 def _shares(s: SparkSession, d: str) -> DataFrame:
     links, turns = _network(s, d)
-    g = T.graph(links.withColumn("minutes", F.array("minutes")), turns)
     od = _node_demand(s, d)
-    paths = T.shortest_paths(T.tasks_of(s, od.withColumn("t_start", F.lit(0.0))), g).join(od, ["source", "target"])
+    paths = T.paths_between(T.tasks_of(s, od.withColumn("t_start", F.lit(0.0))), links.withColumn("minutes", F.array("minutes")), turns).join(od, ["source", "target"])
     p = paths.select(F.col("source").alias("o"), F.col("target").alias("d"), "t_start", "links", "costs", F.col("demand").alias("path_flow"), "demand")
     return T.assignment_matrix(p, table(s, d, "links").where("lanes >= 2").select(F.col("id").alias("id_link")))
 

@@ -63,6 +63,14 @@ def test_paths_agree_with_plain_search_and_relaxation(spark):
         best = costs_by_link(rows, pairs, r.source, profile)
         assert r.tot_cost == pytest.approx(min(c for k, c in best.items() if next(q for q in rows if q.id == k).to_node == r.target))
         assert r.costs[-1] == r.tot_cost and len(r.costs) == len(r.links)
+    timed = links.withColumn("minutes", F.array("t0", F.col("t0") * 2))
+    joined = {(r.source, r.target): r for r in T.relaxed_paths(tasks, timed, turns, 10.0).collect()}
+    assert joined.keys() == {(r.source, r.target) for r in got}
+    known = {r.id: r for r in rows}
+    for r in got:
+        j = joined[r.source, r.target]
+        assert j.tot_cost == pytest.approx(r.tot_cost) == pytest.approx(j.costs[-1]) and known[j.links[0]].from_node == r.source and known[j.links[-1]].to_node == r.target
+        assert all(known[a].to_node == known[b].from_node for a, b in zip(j.links, j.links[1:])) and j.costs == sorted(j.costs)
     relaxed = {r.id_link: r.cost for r in T.relaxed_costs(links.withColumn("minutes", F.col("t0")), turns, spark.createDataFrame([(0,)], "source bigint")).collect()}
     assert relaxed == pytest.approx(costs_by_link(rows, pairs, 0))
 
