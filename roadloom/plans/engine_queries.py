@@ -407,6 +407,11 @@ def segment_congestion_stats(s: SparkSession, d: str) -> DataFrame:
     return c.select("id_set", F.round("v_avg", 4).alias("v_avg"), F.round("share_0", 5).alias("share_0"), F.round("share_1", 5).alias("share_1"), "congested_slots", F.round("max_tt", 3).alias("max_tt"), F.round("min_tt", 3).alias("min_tt"))
 
 
+@query(f"WITH {_PINGS} SELECT id, id_veh, ts, engine, x, y FROM p WHERE id_veh IS NOT NULL")
+def p5_first_pings(s: SparkSession, d: str) -> DataFrame:
+    return first_pings(table(s, d, "fcd"))
+
+
 # --- matching ------------------------------------------------------------------------------------------------------
 
 

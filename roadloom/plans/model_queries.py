@@ -20,6 +20,7 @@ from roadloom.operators.fcd_trips import build_trips
 from roadloom.operators.matching import nearest_link
 from roadloom.operators.reconstruct import rebuilt
 from roadloom.operators.spatial import regions
+from roadloom.plans.engine_queries import _PINGS
 from roadloom.session import collected, shared_folder, table, written
 from roadloom.streaming import fcd as R
 
@@ -200,12 +201,15 @@ def _run(s: SparkSession, d: str, made: Callable[[DataFrame], DataFrame]) -> Dat
     return R.run_whole(made(pings), own, f"{own}-end", end)
 
 
-@query()
+@query(f"""WITH {_PINGS.replace("SELECT id, id_veh, ts, engine,", "SELECT id, id_veh, ts, speed::DOUBLE AS speed,")}
+SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS slice, id_veh, avg(speed) AS speed, count(speed) AS n FROM p WHERE speed IS NOT NULL AND id_veh IS NOT NULL GROUP BY ALL""")
 def stream_slice_speeds(s: SparkSession, d: str) -> DataFrame:
     return _run(s, d, R.slice_speeds)
 
 
-@query()
+@query(f"""WITH {_PINGS}, g AS (SELECT id_veh, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM p WHERE id_veh IS NOT NULL WINDOW w AS (PARTITION BY id_veh ORDER BY ts)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY id_veh ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT id_veh, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS n FROM k GROUP BY id_veh, k""")
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
     return _run(s, d, R.gap_sessions)
 
