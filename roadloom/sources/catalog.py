@@ -7,14 +7,22 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping, Sequence
+import struct
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.predicates import both, dnf, frame_expression
+from roadloom.functions.wkb import parse
 
 #: Formats by file ending. A folder is read as what its files' ending says.
 FORMATS = {".parquet": "parquet", ".geoparquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text"}
@@ -162,18 +170,71 @@ def violations(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.array(*counts).alias("v")).select(F.inline("v"))
 
 
-def write_geoparquet(df: DataFrame, path: str, geometry: str, kinds: Sequence[str], crs: str, mode: str = "w") -> None:
-    """Parquet with a WKB column, and its `geo` description (version 1.0.0) beside the data, as Spark's writer can't set
-    keys of a file's footer."""
-    df.write.mode({"w": "overwrite", "a": "append"}[mode]).parquet(path)
-    meta = {"version": "1.0.0", "primary_column": geometry, "columns": {geometry: {"encoding": "WKB", "geometry_types": list(kinds), "crs": crs}}}
+def write_geoparquet(df: DataFrame, path: str, geometry: str, kinds: Sequence[str], crs: Any, mode: str = "w") -> None:
+    """GeoParquet 1.0.0: parquet files with a WKB column whose footers describe it, box of the file's geometries included.
+
+    Spark's own writer can't set keys of a footer, so each task writes one file by Arrow into a folder beside the data
+    that readers pass over; when all are there the driver moves them into place (and, with mode w, removes what was
+    there before). A task run again writes the same file again. The description of the whole, with its box, lies beside
+    the data as _geo.json. Null and unreadable geometries have no part in the box; an empty df leaves only that.
+    """
+    own = f"_writing-{uuid.uuid4().hex}"
     spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_geo.json")
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(json.dumps(meta).encode()))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = root.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    child = lambda *names: spark._jvm.org.apache.hadoop.fs.Path("/".join([base, *names]))
+    fs.mkdirs(child(own))
+
+    def described(box: Sequence[float] | None) -> str:
+        column = {"encoding": "WKB", "geometry_types": list(kinds), "crs": crs} | ({"bbox": list(box)} if box else {})
+        return json.dumps({"version": "1.0.0", "primary_column": geometry, "columns": {geometry: column}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, rows, low, high, writer = f"part-{TaskContext.get().partitionId():06}.parquet", 0, np.full(2, np.inf), np.full(2, -np.inf), None
+        for b in batches:
+            for wkb in b.column(geometry).to_pylist():
+                try:
+                    p = np.concatenate(parse(wkb)[1])
+                except (TypeError, ValueError, KeyError, IndexError, struct.error):
+                    continue
+                low, high = np.minimum(low, p.min(0)), np.maximum(high, p.max(0))
+            if writer is None:
+                store, at = FileSystem.from_uri(f"{base}/{own}/{name}")
+                writer = pq.ParquetWriter(at, b.schema, filesystem=store)
+            writer.write_batch(b)
+            rows += b.num_rows
+        box = [*low.tolist(), *high.tolist()] if np.isfinite(low).all() else None
+        if writer is not None:
+            writer.add_key_value_metadata({"geo": described(box)})
+            writer.close()
+            yield pa.RecordBatch.from_pylist([{"file": name, "n": rows, "box": box}], pa.schema([("file", pa.string()), ("n", pa.int64()), ("box", pa.list_(pa.float64()))]))
+
+    made = df.mapInArrow(run, "file string, n bigint, box array<double>").collect()  # one row a partition
+    if mode == "w":
+        for old in fs.listStatus(root):
+            if old.getPath().getName() != own:
+                fs.delete(old.getPath(), True)
+    for r in made:
+        fs.rename(child(own, r.file), child(f"{own.removeprefix('_writing-')}-{r.file}"))
+    fs.delete(child(own), True)
+    boxes = np.array([r.box for r in made if r.box]).reshape(-1, 4)
+    out = fs.create(child("_geo.json"), True)
+    out.write(bytearray(described([*boxes[:, :2].min(0).tolist(), *boxes[:, 2:].max(0).tolist()] if len(boxes) else None).encode()))
     out.close()
 
 
+def geo_description(path: str) -> dict[str, Any]:
+    """The `geo` description in the footer of a GeoParquet file, or of one of a folder's; empty where there is none."""
+    store, at = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    if store.get_file_info(at).type == FileType.Directory:
+        files = sorted(f.path for f in store.get_file_info(FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", ".")))
+        if not files:
+            return {}
+        at = files[0]
+    return json.loads((pq.read_metadata(at, filesystem=store).metadata or {}).get(b"geo", b"{}"))
+
+
 def save_state(df: DataFrame, folder: str, name: str, keys: Sequence[str] = ("day_type", "t")) -> None:
     """A named snapshot, its partitions replaced one by one."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/{name}")

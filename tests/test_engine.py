@@ -1,5 +1,6 @@
 import heapq
 import itertools
+import json
 import random
 import sqlite3
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import predicates as P
 from roadloom.functions import scalars as X
+from roadloom.functions.wkb import decode, encode_line
 from roadloom.operators import assign as A
 from roadloom.operators import clusters as C
 from roadloom.operators import demand as D
@@ -146,6 +148,23 @@ def test_path_clusters(spark):
     assert C.hausdorff(np.array(line(0)), np.array(line(0))) == 0
 
 
+def test_geoparquet_files_describe_themselves(spark, tmp_path):
+    path = str(tmp_path / "lines.geoparquet")
+    lines = spark.createDataFrame([(i, [(float(i), 0.0), (10.0 + i, 5.0)]) for i in range(6)] + [(9, None)], "id int, xy array<struct<x:double,y:double>>").repartition(3)
+    df = lines.select("id", encode_line("xy").alias("geometry"))
+    for mode, n in (("w", 7), ("w", 7), ("a", 14)):
+        catalog.write_geoparquet(df, path, "geometry", ["LineString"], None, mode)
+        assert Dataset(path=path).read(spark).count() == n
+    about = catalog.geo_description(path)
+    assert about["version"] == "1.0.0" and about["columns"]["geometry"]["encoding"] == "WKB" and len(about["columns"]["geometry"]["bbox"]) == 4
+    whole = json.loads((tmp_path / "lines.geoparquet/_geo.json").read_text())
+    assert whole["columns"]["geometry"]["bbox"] == [0.0, 0.0, 15.0, 5.0] and not list(tmp_path.glob("lines.geoparquet/_writing*"))
+    back = Dataset(path=path).read(spark).select("id", decode("geometry").alias("g")).where("id = 3").first()
+    assert [(p.x, p.y) for p in back.g.parts[0]] == [(3.0, 0.0), (13.0, 5.0)]
+    catalog.write_geoparquet(df.limit(0), path, "geometry", ["LineString"], None)
+    assert catalog.geo_description(path) == {}
+
+
 def test_matching_bounds(spark):
     links = spark.createDataFrame([(1, "LINESTRING (0 0, 100 0)"), (2, "LINESTRING (100 10, 0 10)"), (3, "LINESTRING (0 0, 0 0)")], "id bigint, geometry string")
     segs = N.segments(links)
